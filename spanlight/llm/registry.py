@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import byte_bpe, exact_dedup, line_dedup, quality, token_table, toxicity
 
 
 def queries():
     return {
+        "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+        "op2_quality": quality.op2_quality,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op6_token_table": token_table.op6_token_table,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
