@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, quality, token_table, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, line_dedup, quality, token_table, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_quality": quality.op2_quality,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_token_table": token_table.op6_token_table,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -19,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     }
