@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, line_dedup, quality, token_table, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, token_table, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_quality": quality.op2_quality,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_minhash": near_dedup.op5_minhash,
         "op6_token_table": token_table.op6_token_table,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
