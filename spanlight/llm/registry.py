@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, token_table, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, suffix_tree_lm, token_table, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_minhash": near_dedup.op5_minhash,
         "op6_token_table": token_table.op6_token_table,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_lm": suffix_tree_lm.op8_lm,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
