@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, suffix_tree_lm, token_table, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, suffix_dedup, suffix_tree_lm, token_table, toxicity
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_lm": suffix_tree_lm.op8_lm,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
