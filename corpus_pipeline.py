@@ -15,34 +15,37 @@ from spanlight.llm.common import scratch, stored, table
 
 #: The near-duplicate stage's words a shingle and similarity in percent.
 SHINGLE, SIMILARITY = 5, 80
+#: Lists of dropped ids up to this many rows are sent to every task.
+DROPPED_ROWS = 1_000_000
 
 
-def chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id ``verdicts`` (doc_id) lists, with their own columns; a null id matches a null id."""
-    ids = verdicts.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose id ``dropped`` (doc_id) does not list, with their own columns; a null id matches a null id.
+    The list is broadcast below DROPPED_ROWS rows (they are counted), and joined by shuffle beyond."""
+    ids = stored(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), scratch(docs.sparkSession), "dropped")
+    ids = F.broadcast(ids) if ids.count() <= DROPPED_ROWS else ids.hint("shuffle_hash")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scores = quality.scored(docs, table(spark, sf_dir, "labels"))
-    return chosen(docs, scores.where(F.col("score") >= quality.THRESHOLD))
+    return quality.kept(docs, *quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
-    return chosen(docs, exact_dedup.DigestIndex(spark).add(docs).where("kept"))
+    return without(docs, exact_dedup.DigestIndex(spark).add(docs).where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id; documents without words stay."""
     groups = near_dedup.near_groups(docs, size=SHINGLE, threshold=SIMILARITY)
-    return chosen(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return chosen(docs, decontaminate.judged(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return without(docs, decontaminate.judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,16 +117,31 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, block: int = BLOCK)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        weights = shared.value.astype(np.float64)
         for part, data, offsets in blocks(batches, most=block):
-            ids, rows = features(data, offsets)
-            n = part.num_rows
-            total, many = np.bincount(rows, weights[ids], n), np.bincount(rows, minlength=n)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-(total / np.maximum(many, 1) + bias))))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chances(data, offsets, shared.value, bias))], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def chances(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each row of a block."""
+    ids, rows = features(data, offsets)
+    n = len(offsets) - 1
+    total, many = np.bincount(rows, weights[ids], n), np.bincount(rows, minlength=n)
+    return 1 / (1 + np.exp(-(total / np.maximum(many, 1) + bias)))
+
+
+def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The rows that score ``threshold`` at least, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for part, data, offsets in blocks(batches, text_col, block):
+            yield part.filter(pa.array(chances(data, offsets, shared.value, bias) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: int = 0, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Learn from labelled rows outside the held-out fold."""
     return train(collected(sampled(text_of(docs), labels, label_col, fold(F.col("doc_id")) != held_out, rows=rows), features))
