@@ -46,3 +46,14 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         now, mark = step, seen
     stars = step.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("vertex"), "component").distinct())
+
+
+def settled(links: DataFrame, folder: str, rounds: int = 3) -> DataFrame:
+    """(vertex, label) after a few rounds in which each vertex takes the smallest label around it. Vertices with one label are connected;
+    the reverse need not hold, so edges between labels are left to ``components``."""
+    both = stored(links.select(F.col("a").alias("vertex"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("vertex"), F.col("a").alias("other"))), folder, "both")
+    now = both.groupBy("vertex").agg(F.least(F.min("other"), F.col("vertex")).alias("label"))
+    for i in range(1, rounds):
+        now = stored(now, folder, f"labels-{i}")
+        now = both.join(now.withColumnRenamed("vertex", "other").hint("merge"), "other").groupBy("vertex").agg(F.min("label").alias("label"))
+    return stored(now, folder, "labels")

@@ -7,15 +7,15 @@ after ``SIZE`` the i-th coordinate gets all elements. So every coordinate fills,
 and equal coordinates estimate the similarity with concentration bounds like those of independent hashes.
 
 Bands of ``ROWS`` coordinates make buckets; at similarity 0.8 a pair misses all ``BANDS`` of them with a chance of 4e-8.
-A bucket does not emit its pairs. Its hub (a class with most copies) meets every member, those pairs are verified, and
-components are formed. Buckets that then lie in one component are done, as no further link could change anything. What is
-left, members that are in no component with their hub, meets the members of other components in that bucket, where a
-six-word bit sketch (one bit a coordinate) first rules out pairs that are far below the threshold (6 standard deviations).
-All that remain are verified on the full sets, so no bucket is capped.
+A bucket does not emit its pairs. Its hub (a class with most copies, the same one in as many buckets as possible) meets every
+member. A bit sketch (one bit a coordinate) rules out pairs that are far below the threshold (6 standard deviations), the
+others are verified on their full sets, and what is linked gets a common label. Buckets with one label are done, as no
+further link could change anything. In the others, members meet those of other labels, and the pairs that the bit sketch lets
+pass are verified as well, so no bucket is capped. Components are then formed over all links.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked with nothing; shorter texts
-than a shingle have one; rows repeating id and text are one class; a null id is kept out of links and is its own
-component (null); an empty table gives an empty result; other columns are ignored.
+than a shingle have one; rows repeating id and text are one class, and an id with several texts is one document, held against
+others by the smallest of them; a null id is kept out of links and is its own component (null); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, hashed_words, mix, scratch, stored, table, text_of
-from .components import components
+from .components import components, settled
 
 BANDS, ROWS, BIT_WORDS = 56, 6, 6
 SIZE = BANDS * ROWS
@@ -168,34 +168,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stored(reps.select("rep", "copies", "bands", "bits"), folder, "reps")
     # buckets with two classes or more, each with its hub
     members = reps.select("rep", "copies", F.explode("bands").alias("key"))
-    hub = F.max(F.struct("copies", F.xxhash64("rep", "key").alias("draw"), "rep"))
+    hub = F.max(F.struct("copies", F.xxhash64("rep").alias("draw"), "rep"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).where("n > 1").select("key", "n", F.col("hub.rep").alias("hub"))
     buckets = stored(buckets, folder, "buckets")
     members = stored(reps.select("rep", F.explode("bands").alias("key")).join(buckets.hint("merge"), "key"), folder, "members")
     marks = reps.select("rep", "bits")
-    hub_pairs = members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.col("rep").alias("member")).distinct()
+    hub_pairs = members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     hub_pairs = (hub_pairs.join(marks.select(F.col("rep").alias("a"), F.col("bits").alias("ma")).hint("merge"), "a")
                  .join(marks.select(F.col("rep").alias("b"), F.col("bits").alias("mb")).hint("merge"), "b")
-                 .select("a", "b", "member", unlike("ma", "mb").alias("far")).where(F.col("far") <= most_unlike(threshold)))
+                 .where(unlike("ma", "mb") <= most_unlike(threshold)).select("a", "b"))
     hub_pairs = stored(hub_pairs, folder, "hub-pairs")
     wanted = members.select("rep").distinct()
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    texts = stored(texts.dropDuplicates(["rep"]), folder, "texts")
-    # first each member with the hub most like it, then all that is still open
-    first = hub_pairs.groupBy("member").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = stored(verified(first, texts, size, threshold), folder, "links-first")
-    found = stored(components(links, f"{folder}/first"), folder, "components-first")
-    label = lambda df, column, name: df.join(found.select(F.col("vertex").alias(column), F.col("component").alias(name)).hint("merge"), column, "left").withColumn(name, F.coalesce(name, column))
-    still = label(label(hub_pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")), folder, "texts")
+    links = stored(verified(hub_pairs, texts, size, threshold), folder, "links-hubs")
+    near = settled(links, folder)
+    label = lambda df, column, name: df.join(near.select(F.col("vertex").alias(column), F.col("label").alias(name)).hint("merge"), column, "left").withColumn(name, F.coalesce(name, column))
+    # members of a bucket that are not in one component yet
     at = stored(label(members.where("n > 2"), "rep", "c"), folder, "labelled")
     open_keys = stored(at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key"), folder, "open")
     at = at.join(open_keys.hint("merge"), "key").where("rep <> hub").join(marks.hint("merge"), "rep")
     at = stored(at.select("key", "rep", "c", "bits"), folder, "open-members")
     one, other = at.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("bits").alias("ma")), at.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("bits").alias("mb"))
     crossed = one.join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (unlike("ma", "mb") <= most_unlike(threshold))).select("a", "b")
-    rest = stored(still.unionByName(crossed).distinct(), folder, "rest")
-    links = stored(links.unionByName(verified(rest, texts, size, threshold)), folder, "links")
-    found = stored(components(links, f"{folder}/all"), folder, "components")
+    rest = stored(crossed.distinct(), folder, "rest")
+    links = links.unionByName(stored(verified(rest, texts, size, threshold), folder, "links-rest"))
+    between = stored(label(label(links, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), folder, "between")
+    found = near.select("vertex", F.col("label").alias("component"))
+    if not between.isEmpty():
+        merged = stored(components(between, f"{folder}/merged").select(F.col("vertex").alias("component"), F.col("component").alias("into")), folder, "merged")
+        alone = merged.join(near.select(F.col("vertex").alias("component")), "component", "left_anti").select(F.col("component").alias("vertex"), F.col("into").alias("component"))
+        found = found.join(merged.hint("merge"), "component", "left").select("vertex", F.coalesce("into", "component").alias("component")).unionByName(alone)
     # a class is its representative's component, a row is its class's
     placed = classes.join(found.hint("merge"), F.col("rep") == F.col("vertex"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     placed = stored(placed, folder, "placed")
