@@ -36,7 +36,8 @@ def common_line_positions(docs: DataFrame, min_docs: int, min_chars: int, folder
     common = (postings.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
               .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
     common = stored(common.select("h1", "h2"), folder, "common")
-    return postings.join(common, ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
+    # neither side of these joins is bounded: always by shuffle, and the first so that a hot line's rows can be split
+    return postings.join(common.hint("merge"), ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     drops = stored(common_line_positions(docs, min_docs, min_chars, folder), folder, "drops")
     drops = drops.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     joined = docs.withColumn("text_hash", F.xxhash64("text")).join(
-        drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+        drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     split = F.split("text", "\n", -1)
     rows = joined.select("doc_id", "text", "positions", split.alias("lines"), F.size(split).alias("n_lines"))
     rest = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("positions"))
