@@ -58,7 +58,7 @@ class DigestIndex:
         self._append(fresh.repartition(self.buckets, "digest"))
         # a stored side has an exchange of its own, so that the many copies of one text can be split over tasks
         resolved = stored(groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size"), batch, "resolved")
-        return rows.join(resolved, "digest").select(
+        return rows.join(resolved.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
