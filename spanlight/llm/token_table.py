@@ -18,6 +18,7 @@ count as empty and have only the end id. An empty table gives no shards. Other c
 
 from __future__ import annotations
 
+import array
 import bisect
 import io
 import struct
@@ -191,7 +192,7 @@ class ShardReader:
         return None
 
 
-class WordIds(dict):
+class WordIds:
     """Packed ids of blank-separated words. The tokenizer normalises and splits at blanks before it merges, so
     a text's ids are its words' ids in a row."""
 
@@ -200,22 +201,24 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.form = f"<u{id_bytes}"
+        self.form = {2: "H", 4: "I"}[id_bytes]
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        words = list(words)
+    def learn(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, dtype=self.form).tobytes()
+            self.known[word] = array.array(self.form, found.ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text; words that are new are encoded together."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
         if new:
-            if len(self) + len(new) > WORDS_KEPT:
-                self.clear()
-                new = set(words)
-            self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+            if len(self.known) + len(new) > WORDS_KEPT:
+                self.known.clear()
+                new = words
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
 
 def filesystem(folder: str):
@@ -243,7 +246,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         files.create_dir(root, recursive=True)
         words = WordIds(path, 4)
         id_bytes = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        words.form = f"<u{id_bytes}"
+        words.form = {2: "H", 4: "I"}[id_bytes]
         end = end_id.to_bytes(id_bytes, "little")
         state = {"n": 0}
 
@@ -262,11 +265,11 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             state.pop("shard")
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, state["n"] - 1, f"{folder}/{name.rsplit('/', 1)[1]}", len(shard.keys), shard.n_ids), schema.types, strict=True)], schema=schema)
 
-        for rows, _, _ in blocks(batches):
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        for rows, _, _ in blocks(batches, most=1 << 20):
+            for doc_id, ids in zip(rows.column(0).to_pylist(), words.encode([x or "" for x in rows.column(1).to_pylist()]), strict=True):
                 if "shard" not in state:
                     start()
-                state["shard"].add(key_of(doc_id), words.encode(text or "") + end)
+                state["shard"].add(key_of(doc_id), ids + end)
                 if state["shard"].at >= SHARD_BYTES:
                     yield finish()
         if "shard" in state:
