@@ -15,6 +15,8 @@ U64 = np.uint64
 
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 4 << 20
+#: Distinct keys a counting task holds before it passes them on.
+HELD = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +156,37 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = BL
     return h, counts
 
 
+class Tally:
+    """Counts of 64-bit keys, held up to a bound and passed on when it is reached."""
+
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            self.parts.append(np.unique(keys, return_counts=True))
+            self.size += len(self.parts[-1][0])
+        if self.size > 2 * HELD:
+            self._merge()
+            if self.size > HELD:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+            self.parts = [(keys, np.bincount(place, np.concatenate([n for _, n in self.parts])).astype(np.int64))]
+        self.size = sum(len(k) for k, _ in self.parts)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for keys, n in self.parts:
+            for i in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], schema=self.schema)
+        self.parts, self.size = [], 0
+
+
 def row_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 

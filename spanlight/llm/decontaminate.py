@@ -1,13 +1,14 @@
 """Benchmark decontamination by a positional inverted index over the training text.
 
-1. The benchmark's items are cut into windows of consecutive words (a shorter item is one window).
+1. The benchmark's items are cut into windows of consecutive words (a shorter item is one window). Words are 64-bit hashes.
 2. Term counts over the whole corpus tell the rarest terms of each window (``RAREST`` of them, its anchors).
 3. Postings (document, position) of all anchor terms are taken from the corpus. They are stored, and joined with the windows
    by term; each posting's position less the anchor's offset is where that window would start. A start on which all of
    a window's anchors agree is a candidate: the offset-adjusted lists are intersected by counting in a group.
-4. Candidates are held against the documents' words at that place, so what is returned are exact phrases.
+4. Candidates are held against all the document's words at that place, so what is returned are exact phrases.
    ``proximity_matches`` returns, from the same postings, places where a window's anchors lie close together instead.
 
+Passes over the corpus let only those words through that a bitmap of fixed size has, and a join by term removes its false hits.
 The corpus side is never broadcast or collected. The benchmark's terms and windows are broadcast below ``BROADCAST_ROWS``
 rows (they are counted first) and joined by shuffle beyond that. A passage in a third of all documents gives postings that are
 spread by document; only counts meet at a term.
@@ -19,21 +20,36 @@ Items with equal texts all count.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table, text_of
+from .common import U64, Tally, blocks, hashed_words, mix, row_of, scratch, stored, table, text_of
 
 WINDOW, RAREST = 13, 3
 #: Benchmark windows or terms up to this many rows are sent to every task.
 BROADCAST_ROWS = 500_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BITMAP_BITS = 22
+BLOCK = 2 << 20
+#: Digits, letters and all bytes of other scripts make words.
+OUTSIDE = np.ones(256, dtype=bool)
+OUTSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+ODD = U64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: Column) -> Column:
-    """Words of A-Z-lower-cased text. The pattern takes upper case as well, and only what it finds is lower-cased."""
-    found = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    return F.transform(found, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words(data, offsets, OUTSIDE)
+
+
+def phrase_digests(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A digest of the words from each start on; words beyond the end count as none."""
+    out = np.zeros(len(starts), dtype=U64)
+    padded = np.append(words, U64(0))
+    for i in range(int(lengths.max(initial=0))):
+        word = padded[np.minimum(starts + i, len(words))]
+        out = np.where(i < lengths, mix(out * ODD + word + U64(1)), out)
+    return out
 
 
 def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -42,22 +58,42 @@ def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
-    """(item_id, window, terms): the distinct windows of (item_id, text) rows."""
-    rows = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
-    rows = rows.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.slice("words", F.col("at") + 1, size).alias("terms")).distinct()
-    return rows.withColumn("window", F.xxhash64("terms"))
+    """(item_id, window, length, terms): the distinct windows of (item_id, text) rows."""
+    schema = pa.schema([("item_id", pa.int64()), ("window", pa.int64()), ("length", pa.int32()), ("terms", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for part, data, offsets in blocks(batches, most=BLOCK):
+            words, counts = words_of(data, offsets)
+            cuts = np.concatenate([[0], np.cumsum(counts)])
+            out = []
+            for item, i, n in zip(part.column(0).to_pylist(), cuts, counts, strict=False):
+                length = min(size, int(n))
+                starts = np.arange(i, i + n - length + 1) if n else np.zeros(0, dtype=np.int64)
+                for start, digest in zip(starts, phrase_digests(words, starts, np.full(len(starts), length)), strict=True):
+                    out.append((item, int(digest.view(np.int64)), length, words[start : start + length].view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return items.mapInArrow(run, "item_id long, window long, length int, terms array<long>").dropDuplicates(["item_id", "window"])
 
 
 def anchors_of(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """(window, term, offset, n_anchors): the rarest terms of each window, each at one place."""
-    terms = windows.select("window", "terms").dropDuplicates(["window"]).select("window", F.posexplode("terms").alias("offset", "term"))
+    """(window, place, term, offset, n_anchors): the rarest terms of each window, each at one place."""
+    terms = windows.dropDuplicates(["window"]).select("window", F.posexplode("terms").alias("offset", "term"))
     ranked = (terms.join(counts, "term").groupBy("window", "term").agg(F.min(F.struct("n", "offset")).alias("x"))
               .groupBy("window").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.n", "term", "x.offset"))), 1, rarest).alias("a"), F.count(F.lit(1)).alias("known")))
     # a window with a term that the corpus lacks has no place in it
     lengths = terms.groupBy("window").agg(F.count_distinct("term").alias("distinct"))
     ranked = ranked.join(lengths, "window").where("known = distinct")
-    return ranked.select("window", F.size("a").alias("n_anchors"), F.explode("a").alias("a")).select("window", "a.term", "a.offset", "n_anchors")
+    return ranked.select("window", F.size("a").alias("n_anchors"), F.posexplode("a").alias("place", "a")).select("window", "place", "a.term", "a.offset", "n_anchors")
+
+
+def bitmap(terms: DataFrame) -> np.ndarray:
+    """A bitmap that has the top bits of every term. It is put together from distinct slots, of which there are 2**BITMAP_BITS at most."""
+    slots = terms.select(F.shiftrightunsigned("term", 64 - BITMAP_BITS).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
+    out = np.zeros(1 << BITMAP_BITS, dtype=bool)
+    out[slots] = True
+    return out
 
 
 class PostingsIndex:
@@ -68,38 +104,80 @@ class PostingsIndex:
         self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         self.windows = stored(windows_of(items, window), self.folder, "windows")
         terms = stored(self.windows.select(F.explode("terms").alias("term")).distinct(), self.folder, "terms")
-        words = self.docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-        counts = stored(words.join(side(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")), self.folder, "counts")
-        self.anchors = stored(anchors_of(self.windows, counts, rarest), self.folder, "anchors")
+        counts = self._counted(bitmap(terms)).join(side(terms), F.col("key") == F.col("term"))
+        self.anchors = stored(anchors_of(self.windows, stored(counts.select("term", "n"), self.folder, "counts"), rarest), self.folder, "anchors")
         wanted = stored(self.anchors.select("term").distinct(), self.folder, "wanted")
-        tokens = self.docs.select("doc_id", "text_hash", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-        self.postings = stored(tokens.join(side(wanted), "term", "left_semi"), self.folder, "postings")
+        self.postings = stored(self._placed(bitmap(wanted)).join(side(wanted), "term", "left_semi"), self.folder, "postings")
+
+    def _counted(self, wanted: np.ndarray) -> DataFrame:
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+        def run(batches):
+            wanted, tally = np.unpackbits(shared.value).view(bool), Tally()
+            for _, data, offsets in blocks(batches, most=BLOCK):
+                words, _ = words_of(data, offsets)
+                yield from tally.add(words[wanted[(words >> U64(64 - BITMAP_BITS)).astype(np.int64)]])
+            yield from tally.flush()
+
+        return self.docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+    def _placed(self, wanted: np.ndarray) -> DataFrame:
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("term", pa.int64())])
+
+        def run(batches):
+            wanted = np.unpackbits(shared.value).view(bool)
+            for part, data, offsets in blocks(batches, most=BLOCK):
+                words, counts = words_of(data, offsets)
+                at = np.flatnonzero(wanted[(words >> U64(64 - BITMAP_BITS)).astype(np.int64)])
+                row = row_of(counts)[at]
+                first = np.cumsum(counts) - counts
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), pa.array((at - first[row]).astype(np.int32)), pa.array(words[at].view(np.int64))], schema=schema)
+
+        return self.docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, pos int, term long")
 
-    def _placed(self) -> DataFrame:
+    def _starts(self) -> DataFrame:
         return self.postings.join(side(self.anchors), "term").withColumn("start", F.col("pos") - F.col("offset"))
 
     def candidates(self) -> DataFrame:
         """(doc_id, text_hash, start, window) where all anchors of a window agree on its start."""
-        groups = self._placed().where("start >= 0").groupBy("doc_id", "text_hash", "start", "window")
-        return groups.agg(F.count_distinct("offset").alias("n"), F.first("n_anchors").alias("n_anchors")).where("n = n_anchors").drop("n", "n_anchors")
+        groups = self._starts().where("start >= 0").groupBy("doc_id", "text_hash", "start", "window")
+        # each anchor is a bit, so that repeated rows do not count twice
+        return groups.agg(F.expr("bit_count(bit_or(shiftleft(1L, place)))").alias("n"), F.max("n_anchors").alias("n_anchors")).where("n = n_anchors").drop("n", "n_anchors")
 
     def phrase_matches(self) -> DataFrame:
         """doc_id, n_words and hits (struct of start, length and item_id) of every document; hits are exact phrases."""
-        found = self.candidates().join(side(self.windows), "window")
-        found = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "terms", "item_id")).alias("found"))
+        found = self.candidates().join(side(self.windows.select("window", "length", "item_id")), "window")
+        found = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length", "window", "item_id")).alias("found"))
         found = stored(found, self.folder, "found").withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
         rows = self.docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-        rows = rows.select("doc_id", words_of(F.col("text")).alias("words"), "found")
-        exact = F.filter("found", lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["terms"])) == x["terms"])
-        hits = F.transform(exact, lambda x: F.struct(x["start"].alias("start"), F.size(x["terms"]).alias("length"), x["item_id"].alias("item_id")))
-        return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.array().cast("array<struct<start:int,length:int,item_id:bigint>>")).alias("hits"))
+        hit = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.int64())])
+
+        def run(batches):
+            for part, data, offsets in blocks(batches, most=BLOCK):
+                words, counts = words_of(data, offsets)
+                lists = part.column(2)
+                many = np.asarray(lists.value_lengths().fill_null(0))
+                flat, row = lists.flatten(), row_of(many)
+                start, length, window = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
+                good = start + length <= counts[row]
+                digest = phrase_digests(words, (np.cumsum(counts) - counts)[row] + start, length)
+                good &= digest.view(np.int64) == window
+                kept = np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=part.num_rows))]).astype(np.int32)
+                mask = pa.array(good)
+                hits = pa.StructArray.from_arrays([flat.field(i).filter(mask) for i in (0, 1, 3)], fields=list(hit))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(kept), hits)], names=["doc_id", "n_words", "hits"])
+
+        return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, hits array<struct<start: int, length: int, item_id: long>>")
 
     def proximity_matches(self, slop: int) -> DataFrame:
         """(doc_id, start, window): places where each of a window's anchors lies within ``slop`` words of where the window has it.
         Starts are put into overlapping bins twice as wide, so that no pair of near starts is split."""
-        placed = self._placed().withColumn("bin", F.explode(F.array(F.floor(F.col("start") / (2 * slop + 1)), F.floor(F.col("start") / (2 * slop + 1)) + 1)))
+        wide = F.floor(F.col("start") / (2 * slop + 1))
+        placed = self._starts().withColumn("bin", F.explode(F.array(wide, wide + 1)))
         groups = placed.groupBy("doc_id", "text_hash", "bin", "window").agg(
-            F.count_distinct("offset").alias("n"), F.first("n_anchors").alias("n_anchors"), F.min("start").alias("start"))
+            F.expr("bit_count(bit_or(shiftleft(1L, place)))").alias("n"), F.max("n_anchors").alias("n_anchors"), F.min("start").alias("start"))
         return groups.where("n = n_anchors").groupBy("doc_id", "window").agg(F.min("start").alias("start"))
 
 

@@ -28,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, fold, hashed_words, mix, scratch, stored, table, text_of
+from .common import U64, Tally, blocks, fold, hashed_words, mix, scratch, stored, table, text_of
 
 WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2.0**-21, 2.0**-12, 2.0**-20
 DEPTH, LEAST, PRIOR, GAIN, GAIN_A_TOKEN = 3, 4, 1.0, 8.0, 0.005
 BLOCK = 1 << 20
-#: Distinct keys a task holds before it passes them on.
-HELD = 1_000_000
 SHIFT = 22
 
 
@@ -76,37 +74,6 @@ class Lookup:
         return out
 
 
-class Tally:
-    """Counts of 64-bit keys, held up to a bound and passed on when it is reached."""
-
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
-            self.size += len(self.parts[-1][0])
-        if self.size > 2 * HELD:
-            self._merge()
-            if self.size > HELD:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        if len(self.parts) > 1:
-            keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-            self.parts = [(keys, np.bincount(place, np.concatenate([n for _, n in self.parts])).astype(np.int64))]
-        self.size = sum(len(k) for k, _ in self.parts)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        self._merge()
-        for keys, n in self.parts:
-            for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], schema=self.schema)
-        self.parts, self.size = [], 0
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a block's tokens (each row's words, then 0), the row of each, and its place in the row."""
     words, counts = hashed_words(data, offsets)
