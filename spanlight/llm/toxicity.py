@@ -25,7 +25,7 @@ from .common import LOWER, U64, Rolling, blocks, fold, mix, row_of, table, text_
 from .quality import collected, sampled
 
 BUCKETS, DIM, PREFIXES = 1 << 18, 8, (4, 5, 6)
-PER_CLASS, MIN_ROWS, EPOCHS, RATE, SHRINK = 2500, 4, 8, 0.1, 0.02
+PER_CLASS, MIN_ROWS, EPOCHS, RATE, SHRINK = 2500, 8, 10, 0.2, 0.2
 THRESHOLD = 0.5
 BLOCK = 1 << 20
 #: Letters, digits and all bytes of other scripts make words.
@@ -77,6 +77,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, buckets:
             v[ids] = x - rate * 0.3 * d / np.sqrt(gv[ids])
         w = np.sign(w) * np.maximum(0, np.abs(w) - SHRINK)
         v = np.sign(v) * np.maximum(0, np.abs(v) - SHRINK / 10)
+        live = (w != 0) | (v != 0).any(1)  # what has shrunk to nothing stays so
+        data = [(label, ids[live[ids]]) for label, ids in data]
     mine = np.clip(np.mean([label for label, _ in data]), 0.01, 0.99)
     share = np.clip(share, 0.001, 0.999)
     return w, v, float(bias + np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
