@@ -122,7 +122,7 @@ def statistics(first: DataFrame, second: DataFrame, pairs: DataFrame) -> DataFra
     rows = pairs.where("value1 is not null and value2 is not null").select("value1", "value2")
     ranked = average_ranks(average_ranks(rows, "value1", "r1"), "value2", "r2")
     gap = F.col("value1") - F.col("value2")
-    guarded = lambda a, b: F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    guarded = lambda a, b: F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))
     joint = ranked.agg(F.count(F.lit(1)).alias("n_matched"), guarded("value1", "value2").alias("pearson"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), guarded("r1", "r2").alias("spearman"))
     return joint.crossJoin(own(first, 1)).crossJoin(own(second, 2))
 
