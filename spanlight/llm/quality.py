@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs and character n-grams of a text are hashed into buckets, each with a learned vector; a text is the mean
+Words, word pairs (a word that follows itself counts alike whatever the word) and character n-grams of a text are hashed into buckets, each with a learned vector; a text is the mean
 of its vectors, put through a linear layer and a softmax. Vectors and layer are trained together by stochastic
 gradient descent in numpy, on a bounded sample of the labelled rows (``SAMPLE_ROWS``: those whose id hashes lowest);
 the sample's features, a bounded number a row, are made by the executors. For scoring, bucket vectors and layer fold into
@@ -24,6 +24,8 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4, 5)
 SAMPLE_ROWS, EPOCHS, RATE = 4000, 6, 0.5
 THRESHOLD = 0.3
 BLOCK = 1 << 20
+#: Features that stand for a word following itself.
+SAME, SAME_FEATURES = U64(0x5A5A5A5A5A5A5A5A), 4
 
 _bytes = Rolling(7)
 
@@ -35,7 +37,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows = np.repeat(np.arange(len(counts)), counts)
     words = mix(_bytes.spans(prefix, starts, ends) + U64(1))
     pairs = np.flatnonzero(rows[1:] == rows[:-1])
-    found = [(words, rows), (mix(words[pairs] * U64(0x9E3779B97F4A7C15) + words[pairs + 1]), rows[pairs])]
+    # a word that follows itself is one and the same feature whatever the word
+    pair = mix(words[pairs] * U64(0x9E3779B97F4A7C15) + words[pairs + 1])
+    again = words[pairs] == words[pairs + 1]
+    pair[again] = SAME
+    found = [(words, rows), (pair, rows[pairs])] + [(mix(np.full(int(again.sum()), SAME + U64(i))), rows[pairs][again]) for i in range(1, SAME_FEATURES)]
     # n-grams lie within a word and the one blank on either side of it
     n = len(data)
     blank = np.zeros(n + 1, dtype=np.int64)
