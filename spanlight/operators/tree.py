@@ -1,7 +1,8 @@
 """Span trees: descendants, depths and costs rolled up to ancestors.
 
 Trees lie within a trace, and parents are followed by doubling: after round i every span knows its ancestors up to
-2**i levels above, so a tree of depth d takes log2(d) joins by key. Rounds are bounded, which also ends cycles.
+2**i levels above, so a tree of depth d takes log2(d) joins by key. Rounds are bounded, which also ends cycles; each round is cut by
+a checkpoint, as the next one reads it three times.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlight.session import cut
+
 TRACE = ("project_id", "trace_id")
 
 
@@ -17,10 +20,11 @@ def ancestors(spans: DataFrame, rounds: int = 5) -> DataFrame:
     up = spans.where("parent_span_id <> '' and parent_span_id <> span_id").select(*TRACE, "span_id", F.col("parent_span_id").alias("ancestor"), F.lit(1).alias("distance"))
     known = spans.select(*TRACE, F.col("span_id").alias("ancestor"))
     pairs = up.join(known, [*TRACE, "ancestor"], "left_semi").select(*TRACE, "span_id", "ancestor", "distance")
+    pairs = cut(pairs)
     for _ in range(rounds):
         further = pairs.alias("a").join(pairs.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in TRACE] + [F.col("a.ancestor") == F.col("b.span_id")]).select(
             *(F.col(f"a.{c}").alias(c) for c in TRACE), F.col("a.span_id").alias("span_id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        pairs = pairs.unionByName(further).groupBy(*TRACE, "span_id", "ancestor").agg(F.min("distance").alias("distance"))
+        pairs = cut(pairs.unionByName(further).groupBy(*TRACE, "span_id", "ancestor").agg(F.min("distance").alias("distance")))
     own = spans.select(*TRACE, "span_id", F.col("span_id").alias("ancestor"), F.lit(0).alias("distance"))
     return own.unionByName(pairs.where("span_id <> ancestor"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanlight.functions import scalars
 from spanlight.operators import datasets, rollups, search, tables, tree
 from spanlight.operators import score_analytics as sa
-from spanlight.sources import sinks, star
+from spanlight.sources import reader, sinks, star
 from spanlight.sources.star import oracle
 
 from .registry import query
@@ -420,3 +420,26 @@ def _export_window(spark, sf_dir):
 @query("hash_sample", "SELECT event_id FROM events WHERE ('0x' || left(sha256(event_id::VARCHAR), 8))::BIGINT / 4294967295.0::DOUBLE < 0.1")
 def _hash_sample(spark, sf_dir):
     return star.table(spark, sf_dir, "events").where(scalars.sampled(F.col("event_id").cast("string"), 0.1)).select("event_id")
+
+
+@query("experiment_backfill", _UP + " SELECT u.project_id, u.trace_id, u.span_id, run_id, item_id FROM up u JOIN run_items i USING (project_id, trace_id) WHERE ancestor LIKE 'r%' AND run_id <> 'P'")
+def _backfill(spark, sf_dir):
+    items = star.run_items(spark, sf_dir)
+    return datasets.backfill(star.spans(spark, sf_dir), items, items.where("run_id = 'P'"), 3)
+
+
+@query("read_bound_sql", oracle("SELECT trace_id, count(*) AS n FROM spans WHERE level = 'WARNING' AND start_time >= TIMESTAMP '1999-01-01' GROUP BY 1"))
+def _bound(spark, sf_dir):
+    sql = "SELECT trace_id, count(*) AS n FROM {spans} WHERE level = :level AND start_time >= cast(:since AS timestamp_ntz) GROUP BY trace_id"
+    return reader.query(spark, sql, {"level": "WARNING", "since": "1999-01-01"}, spans=star.spans(spark, sf_dir))
+
+
+@query("read_large_fields", oracle("SELECT c.project_id, c.trace_id, c.span_id, left(c.name, 4) AS name FROM child c WHERE level = 'ERROR' AND environment = 'F'"))
+def _large(spark, sf_dir):
+    spans = star.spans(spark, sf_dir)
+    return reader.large_fields(spans, spans.where("level = 'ERROR' AND environment = 'F'"), ["name"], 4)
+
+
+@query("traces_with_errors", oracle("SELECT DISTINCT project_id, trace_id FROM child WHERE level = 'ERROR' AND environment = 'O'"))
+def _with_errors(spark, sf_dir):
+    return reader.traces_having(star.spans(spark, sf_dir), F.col("environment") == "O", "ERROR")
