@@ -196,7 +196,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between = stored(label(label(links, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), folder, "between")
     found = near.select("vertex", F.col("label").alias("component"))
     if not between.isEmpty():
-        merged = stored(components(between, f"{folder}/merged").select(F.col("vertex").alias("component"), F.col("component").alias("into")), folder, "merged")
+        merged = stored(components(between, f"{folder}/merging").select(F.col("vertex").alias("component"), F.col("component").alias("into")), folder, "merged")
         alone = merged.join(near.select(F.col("vertex").alias("component")), "component", "left_anti").select(F.col("component").alias("vertex"), F.col("into").alias("component"))
         found = found.join(merged.hint("merge"), "component", "left").select("vertex", F.coalesce("into", "component").alias("component")).unionByName(alone)
     # a class is its representative's component, a row is its class's

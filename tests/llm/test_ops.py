@@ -55,6 +55,16 @@ def test_near_dedup_odd(empty, odd):
     assert result == {(7, 117, 7), (None, 117, 7), (9, 0, 9)} or result == {(7, 117, 7), (None, 117, None), (9, 0, 9)}
 
 
+def test_near_dedup_chain(spark):
+    """Each text is linked with its neighbours only, so labels have to be merged to get one component."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(30)] + [(100 + i, " ".join(words[i : i + 5])) for i in range(3)]
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = sorted(brute.near(rows))
+    assert len({c for *_, c in expected if c < 100}) == 1
+    assert got(out, "doc_id", "n_shingles", "component_id") == expected
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 3000):
