@@ -38,7 +38,7 @@ END_ID = 2
 MAGIC = b"SPANSST1"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOCK_BYTES, SHARD_BYTES, RESTART, BITS_A_KEY, HASHES = 32 << 10, 64 << 20, 16, 10, 7
-#: Words whose ids a worker remembers before it starts afresh.
+#: Words whose ids a worker remembers; common words come early, so they are among them.
 WORDS_KEPT = 800_000
 
 
@@ -209,16 +209,29 @@ class WordIds:
             self.known[word] = array.array(self.form, found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text; words that are new are encoded together."""
+        """The packed ids of each text; words that are new are encoded together, and remembered while there is room."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known.clear()
-                new = words
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        new = set().union(*split).difference(self.known)
+        full = len(self.known) >= WORDS_KEPT
+        self.learn(list(new))
+        out = [b"".join(map(self.known.__getitem__, x)) for x in split]
+        if full:
+            for word in new:
+                del self.known[word]
+        return out
+
+
+_words: dict[str, WordIds] = {}
+
+
+def words_of(path: str, end_id: int) -> WordIds:
+    """The words that this Python worker knows; tasks that follow one another in it share them."""
+    if path not in _words:
+        words = WordIds(path, 4)
+        words.id_bytes = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        words.form = {2: "H", 4: "I"}[words.id_bytes]
+        _words[path] = words
+    return _words[path]
 
 
 def filesystem(folder: str):
@@ -244,9 +257,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
-        words = WordIds(path, 4)
-        id_bytes = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        words.form = {2: "H", 4: "I"}[id_bytes]
+        words = words_of(path, end_id)
+        id_bytes = words.id_bytes
         end = end_id.to_bytes(id_bytes, "little")
         state = {"n": 0}
 
