@@ -221,17 +221,17 @@ class WordIds:
         return out
 
 
-_words: dict[str, WordIds] = {}
+_words: dict[tuple[str, int], WordIds] = {}
 
 
 def words_of(path: str, end_id: int) -> WordIds:
     """The words that this Python worker knows; tasks that follow one another in it share them."""
-    if path not in _words:
+    if (path, end_id) not in _words:
         words = WordIds(path, 4)
         words.id_bytes = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         words.form = {2: "H", 4: "I"}[words.id_bytes]
-        _words[path] = words
-    return _words[path]
+        _words[path, end_id] = words
+    return _words[path, end_id]
 
 
 def filesystem(folder: str):
