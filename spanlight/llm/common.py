@@ -57,6 +57,11 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def text_hash(text: Column) -> Column:
+    """What tells the texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def small(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; df should be a stored table, whose count is read from its footers."""
     return df.count() <= max_rows

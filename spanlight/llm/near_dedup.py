@@ -1,7 +1,7 @@
 """Near-duplicate groups by fast similarity sketching, banding and exact verification.
 
-A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class from the start,
-named by their smallest id. Each class is sketched: a coordinate of the sketch is the least value any element puts there,
+A document's set holds the hashes of its distinct word shingles. Texts with equal sets are one class from the start,
+numbered by a hash of the set's two digests; ids come in only at the end, so each text of an id is held against others on its own. Each class is sketched: a coordinate of the sketch is the least value any element puts there,
 where in round i every element is thrown into one coordinate with a value between i and i + 1, and in the rounds
 after ``SIZE`` the i-th coordinate gets all elements. So every coordinate fills, nearly always in the first few rounds,
 and equal coordinates estimate the similarity with concentration bounds like those of independent hashes.
@@ -14,8 +14,8 @@ further link could change anything. In the others, members meet those of other l
 pass are verified as well, so no bucket is capped. Components are then formed over all links.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked with nothing; shorter texts
-than a shingle have one; rows repeating id and text are one class, and an id with several texts is one document, held against
-others by the smallest of them; a null id is kept out of links and is its own component (null); an empty table gives an empty result; other columns are ignored.
+than a shingle have one; rows repeating id and text are one class; an id with several texts is one document a text, and each
+may be in a component of its own; a null id is kept out of links and is its own component (null); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, hashed_words, mix, scratch, stored, table, text_of
+from .common import U64, blocks, hashed_words, mix, scratch, stored, table, text_hash, text_of
 from .components import components, settled
 
 BANDS, ROWS, BIT_WORDS = 56, 6, 6
@@ -82,8 +82,8 @@ def bits(sketched: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands, bits) of (doc_id, text) rows; s1 and s2 digest the set, and are null if it is empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, n_shingles, s1, s2, bands, bits) of (doc_id, text, text_hash) rows; s1 and s2 digest the set, and are null if it is empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for part, data, offsets in blocks(batches, most=1 << 20):
@@ -102,9 +102,9 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 own = sketch(elements)
                 keys.append(bands(own).view(np.int64))
                 marks.append(bits(own))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip((n, s1, s2, keys, marks), schema.types[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x, t) for x, t in zip((n, s1, s2, keys, marks), schema.types[2:], strict=True))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -156,15 +156,16 @@ def most_unlike(threshold: int) -> int:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
+    """doc_id, text_hash, n_shingles, component (a number, null for rows that are kept out of links) and component_id (the smallest id
+    reachable by links) of every row."""
     spark = docs.sparkSession
     folder = scratch(spark)
-    docs = text_of(docs, id_col, text_col)
+    docs = text_of(docs, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
     rows = stored(sketched(docs, size), folder, "sketched")
-    classes = rows.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, folder, "classes")
-    known = rows.select(F.col("doc_id").alias("rep"), "s1", "s2", "bands", "bits")
-    reps = classes.hint("merge").join(known, ["rep", "s1", "s2"]).dropDuplicates(["rep", "s1", "s2"])
+    classes = rows.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select("s1", "s2", F.xxhash64("s1", "s2").alias("rep"), "first.doc_id", "first.text_hash", "copies"), folder, "classes")
+    known = rows.select("doc_id", "text_hash", "s1", "s2", "bands", "bits")
+    reps = classes.hint("merge").join(known, ["doc_id", "text_hash", "s1", "s2"]).dropDuplicates(["doc_id", "text_hash", "s1", "s2"])
     reps = stored(reps.select("rep", "copies", "bands", "bits"), folder, "reps")
     # buckets with two classes or more, each with its hub
     members = reps.select("rep", "copies", F.explode("bands").alias("key"))
@@ -178,8 +179,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  .join(marks.select(F.col("rep").alias("b"), F.col("bits").alias("mb")).hint("merge"), "b")
                  .where(unlike("ma", "mb") <= most_unlike(threshold)).select("a", "b"))
     hub_pairs = stored(hub_pairs, folder, "hub-pairs")
-    wanted = members.select("rep").distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    wanted = classes.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi").select("doc_id", "text_hash", "rep")
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("rep", "text")
     texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")), folder, "texts")
     links = stored(verified(hub_pairs, texts, size, threshold), folder, "links-hubs")
     near = settled(links, folder)
@@ -199,13 +200,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         merged = stored(components(between, f"{folder}/merging").select(F.col("vertex").alias("component"), F.col("component").alias("into")), folder, "merged")
         alone = merged.join(near.select(F.col("vertex").alias("component")), "component", "left_anti").select(F.col("component").alias("vertex"), F.col("into").alias("component"))
         found = found.join(merged.hint("merge"), "component", "left").select("vertex", F.coalesce("into", "component").alias("component")).unionByName(alone)
-    # a class is its representative's component, a row is its class's
-    placed = classes.join(found.hint("merge"), F.col("rep") == F.col("vertex"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    placed = stored(placed, folder, "placed")
-    return rows.select("doc_id", "n_shingles", "s1", "s2").join(placed.hint("merge"), ["s1", "s2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # a class is in its number's component, which has the smallest id of all its classes, and a row is its class's
+    placed = stored(classes.join(found.hint("merge"), F.col("rep") == F.col("vertex"), "left").select("s1", "s2", "doc_id", F.coalesce("component", "rep").alias("component")), folder, "placed")
+    named = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "named")
+    placed = stored(placed.join(named.hint("merge"), "component").select("s1", "s2", "component", "component_id"), folder, "placed-named")
+    linked = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(placed.hint("merge"), ["s1", "s2"], "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(linked, F.col("component")).alias("component"), F.when(linked, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
-    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -65,6 +65,15 @@ def test_near_dedup_chain(spark):
     assert got(out, "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_near_dedup_texts_of_one_id(spark):
+    """Each text of an id is verified on its own: the other text of 5 is the smaller one, but its first is the copy of 9's."""
+    texts = {name: " ".join(f"{name}{i}" for i in range(80)) for name in "azk"}
+    rows = [(5, texts["z"]), (5, texts["a"]), (9, texts["z"] + " end"), (11, texts["a"] + " end"), (12, texts["k"])]
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "component_id") == [(5, 5), (5, 5), (9, 5), (11, 5), (12, 12)]
+    assert out.select("component").distinct().count() == 3
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 3000):
