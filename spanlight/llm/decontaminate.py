@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tally, blocks, hashed_words, mix, row_of, scratch, stored, table, text_of
+from .common import U64, Tally, blocks, hashed_words, mix, row_of, scratch, stored, table, text_hash, text_of
 
 WINDOW, RAREST = 13, 3
 #: Benchmark windows or terms up to this many rows are sent to every task.
@@ -101,7 +101,7 @@ class PostingsIndex:
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST):
         self.folder = scratch(docs.sparkSession)
-        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        self.docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
         self.windows = stored(windows_of(items, window), self.folder, "windows")
         terms = stored(self.windows.select(F.explode("terms").alias("term")).distinct(), self.folder, "terms")
         counts = self._counted(bitmap(terms)).join(side(terms), F.col("key") == F.col("term"))
@@ -147,7 +147,7 @@ class PostingsIndex:
         return groups.agg(F.expr("bit_count(bit_or(shiftleft(1L, place)))").alias("n"), F.max("n_anchors").alias("n_anchors")).where("n = n_anchors").drop("n", "n_anchors")
 
     def phrase_matches(self) -> DataFrame:
-        """doc_id, n_words and hits (struct of start, length and item_id) of every document; hits are exact phrases."""
+        """doc_id, text_hash, n_words and hits (struct of start, length and item_id) of every document; hits are exact phrases."""
         found = self.candidates().join(side(self.windows.select("window", "length", "item_id")), "window")
         found = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length", "window", "item_id")).alias("found"))
         found = stored(found, self.folder, "found").withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
@@ -157,7 +157,7 @@ class PostingsIndex:
         def run(batches):
             for part, data, offsets in blocks(batches, most=BLOCK):
                 words, counts = words_of(data, offsets)
-                lists = part.column(2)
+                lists = part.column(3)
                 many = np.asarray(lists.value_lengths().fill_null(0))
                 flat, row = lists.flatten(), row_of(many)
                 start, length, window = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
@@ -167,9 +167,9 @@ class PostingsIndex:
                 kept = np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=part.num_rows))]).astype(np.int32)
                 mask = pa.array(good)
                 hits = pa.StructArray.from_arrays([flat.field(i).filter(mask) for i in (0, 1, 3)], fields=list(hit))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(kept), hits)], names=["doc_id", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(kept), hits)], names=["doc_id", "text_hash", "n_words", "hits"])
 
-        return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, hits array<struct<start: int, length: int, item_id: long>>")
+        return rows.select("doc_id", "text", "text_hash", "found").mapInArrow(run, "doc_id long, text_hash long, n_words long, hits array<struct<start: int, length: int, item_id: long>>")
 
     def proximity_matches(self, slop: int) -> DataFrame:
         """(doc_id, start, window): places where each of a window's anchors lies within ``slop`` words of where the window has it.
@@ -188,16 +188,16 @@ def covered(hits: str) -> Column:
 
 
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (their ids as strings, sorted) and contaminated."""
+    """Per document: text_hash, n_words, n_hit, n_items, items (their ids as strings, sorted) and contaminated."""
     index = PostingsIndex(text_of(docs), items.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")), window, rarest)
     rows = index.phrase_matches().withColumn("n_hit", covered("hits"))
     rows = rows.withColumn("items", F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"].cast("string")))))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+    return rows.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return judged(docs, items).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+    return judged(docs, items).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items", "text_hash")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

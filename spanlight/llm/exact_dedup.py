@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table, text_of
+from .common import scratch, stored, table, text_hash, text_of
 
 #: Runs of blanks that one space does not already stand for.
 UNEVEN_BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -50,16 +50,16 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch; for each of its rows: doc_id, keep_id, group_size (rows of the batch with that text), kept, digest."""
+        """Add a batch; for each of its rows: doc_id, text_hash, keep_id, group_size (rows of the batch with that text), kept, digest."""
         batch = f"{self.folder}/{uuid.uuid4().hex}"
-        rows = stored(text_of(docs, id_col, text_col).select("doc_id", digest(F.col("text")).alias("digest")), batch, "rows")
+        rows = stored(text_of(docs, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("text_hash"), digest(F.col("text")).alias("digest")), batch, "rows")
         groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), batch, "groups")
         fresh = groups.select("digest", F.col("first_id").alias("keep_id")).join(self.read().hint("merge"), "digest", "left_anti")
         self._append(fresh.repartition(self.buckets, "digest"))
         # a stored side has an exchange of its own, so that the many copies of one text can be split over tasks
         resolved = stored(groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size"), batch, "resolved")
         return rows.join(resolved.hint("merge"), "digest").select(
-            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+            "doc_id", "text_hash", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

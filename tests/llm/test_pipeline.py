@@ -44,3 +44,23 @@ def test_stages(spark, docs, rows, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 131
+
+
+def test_one_text_of_an_id_leaves_the_others(spark, tmp_path):
+    """Null and repeated ids, each with one dropped and one clean text, and rows repeated as a whole."""
+    stage = dict(corpus_pipeline.STAGES)
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    bad = text("bench")
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = [(1, text("a")), (None, text("a")), (None, text("b")), (2, text("a")), (2, text("c")), (None, bad), (3, bad), (3, text("d")), (3, text("d")), (None, text("e")), (None, text("e")), (4, None), (None, ""), (5, text("a") + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    listed = lambda df: sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=str)
+    left = [(1, text("a")), (None, text("b")), (2, text("c")), (3, bad), (3, text("d")), (None, text("e")), (4, ""), (5, text("a") + " more")]
+    out = stage["exact dedup"](spark, docs, str(tmp_path))
+    assert out.columns == COLUMNS and listed(out) == sorted(left, key=str)
+    out = stage["decontamination"](spark, docs, str(tmp_path))
+    assert out.columns == COLUMNS and listed(out) == sorted(((i, t or "") for i, t in made if t != bad), key=str)
+    near = [(1, text("a")), (1, text("b") + " x"), (2, text("a") + " y"), (2, text("c")), (3, text("b")), (3, text("d")), (3, text("d")), (None, text("c")), (4, None)]
+    out = stage["near dedup"](spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in near], docs.schema), str(tmp_path))
+    expected = [(1, text("a")), (1, text("b") + " x"), (2, text("c")), (3, text("d")), (None, text("c")), (4, "")]
+    assert out.columns == COLUMNS and listed(out) == sorted(expected, key=str)
