@@ -2,18 +2,21 @@
 
 Training, over all texts of the training rows:
 1. Every token is counted (``counts``: one row a word, summed by shuffle). Words are 64-bit hashes, 0 is a text's end.
-2. Words with a share of at least ``WORD_SHARE`` of all tokens get numbers; there can be 1 / WORD_SHARE of them at most, so they
-   fit a broadcast whatever the corpus. Texts are passed once more for each level of the tree, and what follows each
-   context of the level is counted. A context is any word sequence with a share of at least ``CONTEXT_SHARE``; a follower
-   is kept with a share of at least ``PAIR_SHARE``. These shares bound the tree as in the textbook construction.
+2. Texts are passed once more for each level of the tree, and word sequences (a context and its follower) are counted by shuffle.
+   Sequences that stand ``LEAST`` times are kept, at every size of the corpus, so the tree grows with it. A sequence cannot stand
+   more often than its parts, so only those whose parts passed the level before are counted; bitmaps of fixed size tell
+   most of the others apart, and what they let through is too rare to be kept.
 3. A context is retained if its followers' distribution diverges enough from that of its longest retained suffix: the
    gain in log likelihood must be ``GAIN`` nats at least and ``GAIN_A_TOKEN`` for each time the context stands.
 
 A follower's probability is count / (count of context + PRIOR) plus the rest of the mass times its probability after the
 longest retained suffix; the root is the smoothed distribution of single words. Probabilities of a context sum to one.
 
-Scoring walks each text and takes the longest retained suffix at every token. Numbered words are scored on the spot. The
-others (each of them rare, by its share) are joined by shuffle with the counts of all words, and summed by row.
+So the logarithm of a token's probability is that of the root, plus a back-off for each retained context before it, plus a gain for each
+kept sequence of a retained context that ends with it. A text's score is a sum over its sequences, and those values stand in
+a distributed table. Scoring walks each text: words with a share of ``WORD_SHARE`` of all tokens and sequences with one of ``PAIR_SHARE`` are
+few whatever the corpus (1 / share at most, of each length), and are scored on the spot from a broadcast. The others are
+joined by shuffle with the table, and summed by row.
 
 Defined results: null and empty texts are the end alone; repeated rows are scored each; without training rows N and V are 0
 and scores are those of the smoothing; null ids are a fold of their own and train; other columns are ignored.
@@ -21,19 +24,22 @@ and scores are those of the smoothing; null ids are a fold of their own and trai
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Tally, blocks, fold, hashed_words, mix, scratch, stored, table, text_of
+from .common import HELD, U64, Tally, blocks, fold, hashed_words, mix, scratch, stored, table, text_of
 
-WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2.0**-21, 2.0**-12, 2.0**-20
+WORD_SHARE, PAIR_SHARE = 2.0**-21, 2.0**-20
 DEPTH, LEAST, PRIOR, GAIN, GAIN_A_TOKEN = 3, 4, 1.0, 8.0, 0.005
 BLOCK = 1 << 20
-SHIFT = 22
+BITMAP_BITS = 26
+ODD = U64(0x9E3779B97F4A7C15)
 
 
 class Lookup:
@@ -96,131 +102,218 @@ def counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def join_of(context: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
+    """The hash of a sequence of ``length`` tokens from those of its first and of its last length - 1 tokens."""
+    return mix(context * ODD + mix(suffix + U64(length)))
+
+
+def sequences(hashes: np.ndarray, places: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 to ``most``: at each token the hashes of the context before it, of the suffix and of the sequence that end with it,
+    and whether the text has so many tokens there."""
+    now = hashes
+    for length in range(2, most + 1):
+        before = np.concatenate([now[:1], now[:-1]])
+        whole = join_of(before, now, length)
+        yield before, now, whole, places >= length - 1
+        now = whole
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Two bitmaps of 2**BITMAP_BITS bits, of the top and of the lowest bits of every key, put together in words of 64 bits."""
+    out = np.zeros((2, 1 << BITMAP_BITS - 6), dtype=np.int64)
+    for bits, slot in zip(out, (F.shiftrightunsigned("key", 64 - BITMAP_BITS), F.col("key").bitwiseAND((1 << BITMAP_BITS) - 1)), strict=True):
+        words = keys.select(slot.alias("slot")).groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(U64)
+
+
+def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), dtype=bool)
+    for own, slot in zip(bits, (keys >> U64(64 - BITMAP_BITS), keys & U64((1 << BITMAP_BITS) - 1)), strict=True):
+        found &= (own[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63)) & U64(1)).astype(bool)
+    return found
+
+
+class PairTally:
+    """Counts of (context, suffix), held up to a bound and passed on when it is reached; see Tally."""
+
+    schema = pa.schema([("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray, contexts: np.ndarray, suffixes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys, contexts[first], suffixes[first], n))
+        self.size += len(keys)
+        if self.size > 2 * HELD:
+            self._merge()
+            if self.size > HELD:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            keys, contexts, suffixes, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            self.parts = [(keys, contexts[first], suffixes[first], np.bincount(place, n).astype(np.int64))]
+        self.size = sum(len(p[0]) for p in self.parts)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for _, contexts, suffixes, n in self.parts:
+            for i in range(0, len(n), 100_000):
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(contexts[j].view(np.int64)), pa.array(suffixes[j].view(np.int64)), pa.array(n[j])], schema=self.schema)
+        self.parts, self.size = [], 0
+
+
+def kept_sequences(docs: DataFrame, length: int, parts: np.ndarray) -> DataFrame:
+    """(key, context, suffix, n) of the sequences that stand LEAST times; ``parts`` is the bitmap of those one shorter."""
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches):
+        tally, bits = PairTally(), shared.value
+        for _, data, offsets in blocks(batches, most=BLOCK):
+            hashes, _, places = tokens(data, offsets)
+            *_, (before, now, whole, ok) = sequences(hashes, places, length)
+            at = np.flatnonzero(ok)
+            at = at[has(bits, before[at])]
+            at = at[has(bits, now[at])]
+            if len(at):
+                yield from tally.add(whole[at], before[at], now[at])
+        yield from tally.flush()
+
+    def keyed(batches):
+        for part in batches:
+            context, suffix = (part.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(join_of(context, suffix, length).view(np.int64)), *part.columns], names=["key", *part.schema.names])
+
+    found = docs.select("text").mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return found.mapInArrow(keyed, "key long, context long, suffix long, n long")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been stored; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def tested(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
+    """The sequences with p, their followers' probabilities after the longest retained suffix, and of their contexts: how often (of), retained, back.
+    ``shorter``: (key, n, p) of the sequences one token shorter."""
+    rows = pairs.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")).hint("merge"), "context")
+    rows = rows.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")).hint("merge"), "suffix")
+    followers = Window.partitionBy("context")
+    rows = rows.withColumn("rest", F.col("of") - F.sum("n").over(followers)).withColumn("back", (F.col("rest") + PRIOR) / (F.col("of") + PRIOR))
+    rows = rows.withColumn("mixed", F.col("n") / (F.col("of") + PRIOR) + F.col("back") * F.col("parent"))
+    rows = rows.withColumn("gain", F.sum(F.col("n") * F.log(F.col("mixed") / F.col("parent"))).over(followers) + F.col("rest") * F.log("back"))
+    rows = rows.withColumn("retained", (F.col("gain") >= GAIN) & (F.col("gain") >= GAIN_A_TOKEN * F.col("of")))
+    return rows.select("key", "context", "n", "of", "retained", "back", F.when(F.col("retained"), F.col("mixed")).otherwise(F.col("parent")).alias("p"), "parent")
+
+
 class Tree:
-    """Contexts as a trie that grows to the left: a node is a shorter context's node and the word before it."""
+    """What is broadcast: the commonest words with their numbers, the commonest sequences' values, and a bitmap of the other sequences that have one."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.depth = total, distinct, 0
         order = np.argsort(words.view(U64))
         self.words, self.counts = words.view(U64)[order], counts[order]
         self.root = (self.counts + 0.5) / (total + 0.5 * (distinct + 1))
         self.find = Lookup(self.words)
-        self.node_words: list[list[tuple[int, ...]]] = []  # by level: each node's words
-        self.children: list[Lookup] = []
-        self.context_counts: list[np.ndarray] = []
+        # of contexts of one numbered word: the word, whether it is retained, its back-off
+        self.node_words: list[list[tuple[int, ...]]] = []
         self.retained: list[np.ndarray] = []
         self.back_off: list[np.ndarray] = []
-        self.pairs: list[Lookup] = []
-        self.pair_share: list[np.ndarray] = []
-
-    def grow(self, contexts: list[tuple[int, ...]], counts: list[int]) -> bool:
-        """A level of contexts, each of whose suffixes is in the level before."""
-        level = len(self.node_words)
-        if not contexts:
-            return False
-        if level == 0:
-            keys = np.array([w for (w,) in contexts], dtype=np.int64)
-        else:
-            above = {words: i for i, words in enumerate(self.node_words[-1])}
-            keys = np.array([(above[c[1:]] << SHIFT) | c[0] for c in contexts], dtype=np.int64)
-        self.node_words.append(contexts)
-        self.children.append(Lookup(keys.view(U64)))
-        self.context_counts.append(np.array(counts, dtype=np.float64))
-        return True
-
-    def nodes(self, ids: np.ndarray, places: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """For each level up to ``level``: the node of the context before each token, or -1."""
-        node = None
-        for i in range(level):
-            back = np.full(len(ids), -1, dtype=np.int64)
-            back[i + 1 :] = ids[: len(ids) - i - 1]
-            ok = (places > i) & (back >= 0)
-            if node is None:
-                key = back
-            else:
-                ok &= node >= 0
-                key = (node.astype(np.int64) << SHIFT) | back
-            node = np.full(len(ids), -1, dtype=np.int32)
-            node[ok] = self.children[i](key[ok].view(U64))
-            yield node
-
-    def followers(self, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Keys (node of the deepest level, numbered word) of a block."""
-        ids = self.find(hashes)
-        *_, node = self.nodes(ids, places, len(self.children))
-        ok = (node >= 0) & (ids >= 0)
-        return (node[ok].astype(np.int64) << SHIFT) | ids[ok]
-
-    def retain(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Set the deepest level's distributions from its kept followers and test each context."""
-        level = len(self.children) - 1
-        n, size = self.context_counts[-1], len(self.node_words[-1])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        node, word = keys >> SHIFT, keys & (1 << SHIFT) - 1
-        rest = n - np.bincount(node, counts, size)
-        back = (rest + PRIOR) / (n + PRIOR)
-        parent = self.root[word]
-        contexts = self.node_words[-1]
-        for i in range(level):  # the probability after the retained suffixes of each context
-            suffix = {w: k for k, w in enumerate(self.node_words[i])}
-            of = np.array([suffix[c[len(c) - i - 1 :]] for c in contexts], dtype=np.int64)[node]
-            parent = np.where(self.retained[i][of], self._share(i, of, word) + self.back_off[i][of] * parent, parent)
-        own = counts / (n[node] + PRIOR)
-        gain = np.bincount(node, counts * np.log((own + back[node] * parent) / parent), size) + rest * np.log(back)
-        self.retained.append((gain >= GAIN) & (gain >= GAIN_A_TOKEN * n))
-        self.back_off.append(back)
-        self.pairs.append(Lookup(keys.view(U64)))
-        self.pair_share.append(own)
-
-    def _share(self, level: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        found = self.pairs[level](((node.astype(np.int64) << SHIFT) | word).view(U64))
-        return np.where(found >= 0, self.pair_share[level][found], 0.0) if len(self.pair_share[level]) else np.zeros(len(node))
+        self.tail = np.zeros((2, 1 << BITMAP_BITS - 6), dtype=U64)
+        self.put(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+
+    def put(self, keys: np.ndarray, gains: np.ndarray, backs: np.ndarray) -> None:
+        """The values of the commonest sequences: as a context's follower, and as a context of the next token."""
+        self.quick = Lookup(keys.view(U64))
+        self.gains, self.backs = np.append(gains, 0.0), np.append(backs, 0.0)  # place -1 is the last: no value
+
+    def walk(self, hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """log10 of the root's and of the tree's probability of each token, as far as this object has them, and (keys, places) of the sequences that
+        the distributed table may have. Words without a number have no root here."""
+        base = np.log10(np.where(ids >= 0, self.root[np.maximum(ids, 0)], 1.0)) if len(self.root) else np.zeros(len(ids))
+        full, rest, inside = base.copy(), [], places[1:] > 0
+        if not self.depth:
+            return base, full, rest
+
+        def add(at, found):
+            full[at] += self.gains[found]
+            back = np.zeros(len(full))
+            back[at] = self.backs[found]
+            full[1:] += np.where(inside, back[:-1], 0.0)
+
+        at = np.flatnonzero(ids >= 0)
+        add(at, self.quick(hashes[at]))
+        for _, _, whole, ok in sequences(hashes, places, self.depth + 1):
+            at = np.flatnonzero(ok)
+            found = self.quick(whole[at])
+            add(at, found)
+            at = at[found < 0]
+            at = at[has(self.tail, whole[at])]
+            rest.append((whole[at], at))
+        return base, full, rest
 
     def log10(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the root's and of the tree's probability of each token; of words without a number, only what the contexts' back-off adds."""
-        known = ids >= 0
-        base = np.where(known, self.root[np.maximum(ids, 0)], 1.0) if len(self.root) else np.ones(len(ids))
-        p = base.copy()
-        for i, node in enumerate(self.nodes(ids, places, len(self.pairs))):
-            at = np.flatnonzero(node >= 0)
-            at = at[self.retained[i][node[at]]]
-            share = np.zeros(len(at))
-            has = known[at]
-            share[has] = self._share(i, node[at[has]], ids[at[has]].astype(np.int64))
-            p[at] = share + self.back_off[i][node[at]] * p[at]
-        return np.log10(base), np.log10(p)
+        """``walk`` of numbered words (-1: none), without the distributed table."""
+        return self.walk(np.where(ids >= 0, self.words[np.maximum(ids, 0)], U64(2**64 - 1)), ids, places)[:2]
 
 
 def fit(docs: DataFrame, folder: str, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree of (text) rows and the stored counts of all their tokens."""
+    """The broadcast part of (text) rows' tree, and the stored table of all words' counts and all sequences' values: (key, n, value).
+    n is null for what is not a word."""
     counts = stored(counted(docs, lambda hashes, rows, places: hashes), folder, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.col("n") >= max(1, total * WORD_SHARE)).toPandas()
-    tree = Tree(frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), total, distinct)
-    sc = docs.sparkSession.sparkContext
-    end = int(tree.find(np.zeros(1, dtype=U64))[0])
-    least = max(LEAST, total * CONTEXT_SHARE)
-    level = [((int(i),), int(tree.counts[i])) for i in np.flatnonzero(tree.counts >= least) if i != end]
-    for _ in range(depth):
-        if not tree.grow([c for c, _ in level], [n for _, n in level]):
+    least = {length: max(1, total * (WORD_SHARE if length == 1 else PAIR_SHARE)) for length in range(1, depth + 2)}
+    frequent = counts.where(F.col("n") >= least[1]).toArrow()
+    spark = docs.sparkSession
+    tree = Tree(frequent["key"].to_numpy(), frequent["n"].to_numpy(), total, distinct)
+    shorter = counts.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
+    values = []
+    for length in range(2, depth + 2):
+        if shorter.isEmpty():
             break
-        shared = sc.broadcast(tree)
-        found = counted(docs, lambda hashes, rows, places, shared=shared: shared.value.followers(hashes, rows, places))
-        found = found.where(F.col("n") >= max(LEAST, total * PAIR_SHARE)).toPandas().sort_values("key")
-        keys, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        tree.retain(keys, n)
-        contexts, known = tree.node_words[-1], set(tree.node_words[-1])
-        longer = [(contexts[k >> SHIFT] + (k & (1 << SHIFT) - 1,), c) for k, c in zip(keys.tolist(), n.tolist(), strict=True) if c >= least]
-        level = [(c, m) for c, m in longer if c[-1] != end and c[1:] in known]
-    return tree, counts
+        level = stored(tested(kept_sequences(docs, length, bitmap(shorter)), shorter), folder, f"level-{length}")
+        release(spark)
+        tree.depth = length - 1
+        gain = F.log10("p") - F.log10("parent") - F.log10("back")
+        contexts = level.select("context", "of", "retained", "back").distinct()
+        values.append(level.where("retained").select("key", F.lit(length).alias("length"), "n", gain.alias("gain"), F.lit(0.0).alias("back")))
+        values.append(contexts.where("retained").select(F.col("context").alias("key"), F.lit(length - 1).alias("length"), F.col("of").alias("n"), F.lit(0.0).alias("gain"), F.log10("back").alias("back")))
+        if length == 2:
+            nodes = contexts.where(F.col("of") >= least[1]).toArrow()
+            tree.node_words.append([(int(i),) for i in tree.find(nodes["context"].to_numpy().view(U64))])
+            tree.retained.append(nodes["retained"].to_numpy())
+            tree.back_off.append(nodes["back"].to_numpy())
+        shorter = level.select("key", "n", "p")
+    words = counts.select("key", "n", F.lit(0.0).alias("value"))
+    if not values:
+        return tree, words
+    found = values[0]
+    for more in values[1:]:
+        found = found.unionByName(more)
+    found = stored(found.groupBy("key", "length", "n").agg(F.sum("gain").alias("gain"), F.sum("back").alias("back")), folder, "values")
+    quick = F.col("n") >= F.when(F.col("length") == 1, least[1]).otherwise(least[2])
+    common = found.where(quick).select("key", "gain", "back").toArrow()
+    tree.put(common["key"].to_numpy(), common["gain"].to_numpy(), common["back"].to_numpy())
+    rest = found.where(~quick)
+    tree.tail = bitmap(rest.where("length > 1"))
+    looked_up = words.unionByName(rest.select("key", F.lit(None).cast("long").alias("n"), (F.col("gain") + F.col("back")).alias("value")))
+    looked_up = stored(looked_up.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), folder, "table")
+    release(spark)
+    return tree, looked_up
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of (doc_id, text) rows."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    # a row of its own for each text, and one for each of its words without a number: row, word, how often
-    schema = pa.schema([("row", pa.int64()), ("word", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("tree", pa.float64())])
+    # a row of its own for each text, and one for each of its words without a number or sequences that are not broadcast: row, key, how often
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("word", pa.bool_()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("tree", pa.float64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -229,32 +322,35 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
         for part, data, offsets in blocks(batches, most=BLOCK):
             hashes, rows, places = tokens(data, offsets)
             ids, n = tree.find(hashes), part.num_rows
-            base, full = tree.log10(ids, places)
+            base, full, rest = tree.walk(hashes, ids, places)
             own = np.arange(row, row + n)
             numbered = np.bincount(rows[ids >= 0], minlength=n)
             yield pa.RecordBatch.from_arrays([
-                pa.array(own), pa.array(mix(own.astype(U64)).view(np.int64)), pa.array(numbered), part.column(0), pa.array(np.bincount(rows, minlength=n)),
+                pa.array(own), pa.array(mix(own.astype(U64)).view(np.int64)), pa.nulls(n, pa.bool_()), pa.array(numbered), part.column(0), pa.array(np.bincount(rows, minlength=n)),
                 pa.array(np.bincount(rows, base, n)), pa.array(np.bincount(rows, full, n))], schema=schema)
-            rare = ids < 0
-            order = np.lexsort((hashes[rare], rows[rare]))
-            word, of = hashes[rare][order], rows[rare][order]
-            if len(word):
-                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])]))
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(of[first] + row), pa.array(word[first].view(np.int64)), pa.array(np.diff(np.append(first, len(word)))),
-                    *(pa.nulls(k, t) for t in schema.types[3:])], schema=schema)
+            rare = np.flatnonzero(ids < 0)
+            for word, (keys, at) in [(True, (hashes[rare], rare)), *((False, x) for x in rest)]:
+                order = np.lexsort((keys, rows[at]))
+                key, of = keys[order], rows[at][order]
+                if len(key):
+                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+                    k = len(first)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(of[first] + row), pa.array(key[first].view(np.int64)), pa.array(np.full(k, word)), pa.array(np.diff(np.append(first, len(key)))),
+                        *(pa.nulls(k, t) for t in schema.types[4:])], schema=schema)
             row += n
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, word long, times long, doc_id long, n_tokens long, base double, tree double")
-    # texts' own rows have a key that spreads them, and their count is not looked at
-    joined = rows.join(counts.select(F.col("key").alias("word"), "n").hint("merge"), "word", "left")
-    rare = F.col("n_tokens").isNull()
+    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, key long, word boolean, times long, doc_id long, n_tokens long, base double, tree double")
+    # texts' own rows have a key that spreads them, and what they meet is not looked at
+    joined = rows.join(counts.hint("merge"), "key", "left")
+    rare = F.coalesce("word", F.lit(False))
     count = F.coalesce(F.col("n"), F.lit(0))
     log = F.when(rare, F.col("times") * F.log10((count + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))).otherwise(0.0)
+    value = F.when(F.col("word").isNotNull(), F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
+    known = F.when(F.col("word").isNull() | (rare & (count > 0)), F.col("times")).otherwise(0)
     return joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.when(rare & (count == 0), 0).otherwise(F.col("times"))).cast("long").alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + log).alias("base_score"), F.sum(F.coalesce("tree", F.lit(0.0)) + log).alias("score")).drop("row")
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"),
+        F.sum(F.coalesce("base", F.lit(0.0)) + log).alias("base_score"), F.sum(F.coalesce("tree", F.lit(0.0)) + log + value).alias("score")).drop("row")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,50 @@ def test_language_model(spark, docs, rows, empty, odd):
     assert sorted(r["n_tokens"] for r in suffix_tree_lm.score(text_of(odd[0]), none, stored).collect()) == [1, 121, 121, 121]
 
 
+def plain_scores(rows, train):
+    """Each text's score by the tree's definition, from plain counts of all sequences."""
+    from collections import Counter
+    from math import log, log10
+
+    lm = suffix_tree_lm
+    texts = [brute.data(x).lower().split() + [b""] for _, x in rows]
+    grams = Counter(tuple(ws[t - m + 1 : t + 1]) for ws, use in zip(texts, train, strict=True) if use for m in range(1, 5) for t in range(m - 1, len(ws)))
+    total, kinds = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    root = lambda w: (grams[(w,)] + 0.5) / (total + 0.5 * (kinds + 1))
+    followers, back, retained = {}, {}, set()
+    for g, n in grams.items():
+        if len(g) > 1 and n >= lm.LEAST:
+            followers.setdefault(g[:-1], {})[g[-1]] = n
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        below = p(context[1:], w)
+        return followers[context].get(w, 0) / (grams[context] + lm.PRIOR) + back[context] * below if context in retained else below
+
+    for c in sorted(followers, key=len):
+        n, rest = grams[c], grams[c] - sum(followers[c].values())
+        back[c] = (rest + lm.PRIOR) / (n + lm.PRIOR)
+        gain = sum(k * log((k / (n + lm.PRIOR) + back[c] * p(c[1:], w)) / p(c[1:], w)) for w, k in followers[c].items()) + rest * log(back[c])
+        if gain >= lm.GAIN and gain >= lm.GAIN_A_TOKEN * n:
+            retained.add(c)
+    return [sum(log10(p(tuple(ws[max(0, t - 3) : t]), w)) for t, w in enumerate(ws)) for ws in texts], retained
+
+
+@pytest.mark.parametrize("share", [None, 2.0**-7, 2.0])
+def test_language_model_tail(spark, docs, rows, monkeypatch, share):
+    """Rare contexts count alike whether they are broadcast or, as in large corpora, only in the distributed table."""
+    train = [brute.fold(i) != 1 for i, _ in rows]
+    expected, retained = plain_scores(rows, train)
+    assert {len(c) for c in retained} == {1, 2, 3}
+    if share:
+        for name in ("WORD_SHARE", "CONTEXT_SHARE", "PAIR_SHARE"):
+            monkeypatch.setattr(suffix_tree_lm, name, share, raising=False)
+    tree, table = suffix_tree_lm.fit(text_of(docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1")), scratch(spark))
+    scores = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(text_of(docs), tree, table).collect()}
+    assert [scores[i] for i, _ in rows] == pytest.approx(expected, rel=1e-9)
+
+
 def labelled(spark, n=300):
     import random
 
