@@ -57,3 +57,16 @@ def settled(links: DataFrame, folder: str, rounds: int = 3) -> DataFrame:
         now = stored(now, folder, f"labels-{i}")
         now = both.join(now.withColumnRenamed("vertex", "other").hint("merge"), "other").groupBy("vertex").agg(F.min("label").alias("label"))
     return stored(now, folder, "labels")
+
+
+def merged(near: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """(vertex, label) of ``near`` after the links (a, b) have joined labels; a vertex that near lacks is its own label."""
+    label = lambda df, column, name: df.join(near.select(F.col("vertex").alias(column), F.col("label").alias(name)).hint("merge"), column, "left").withColumn(name, F.coalesce(name, column))
+    between = label(label(links, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    between = stored(between, folder, f"between-{name}")
+    if between.isEmpty():
+        return near
+    into = stored(components(between, f"{folder}/merging-{name}").select(F.col("vertex").alias("label"), F.col("component").alias("into")), folder, f"merged-{name}")
+    alone = into.join(near.select(F.col("vertex").alias("label")).hint("merge"), "label", "left_anti").select(F.col("label").alias("vertex"), F.col("into").alias("label"))
+    out = near.join(into.hint("merge"), "label", "left").select("vertex", F.coalesce("into", "label").alias("label")).unionByName(alone)
+    return stored(out, folder, f"labels-{name}")

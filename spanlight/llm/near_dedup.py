@@ -9,9 +9,13 @@ and equal coordinates estimate the similarity with concentration bounds like tho
 Bands of ``ROWS`` coordinates make buckets; at similarity 0.8 a pair misses all ``BANDS`` of them with a chance of 4e-8.
 A bucket does not emit its pairs. Its hub (a class with most copies, the same one in as many buckets as possible) meets every
 member. A bit sketch (one bit a coordinate) rules out pairs that are far below the threshold (6 standard deviations), the
-others are verified on their full sets, and what is linked gets a common label. Buckets with one label are done, as no
-further link could change anything. In the others, members meet those of other labels, and the pairs that the bit sketch lets
-pass are verified as well, so no bucket is capped. Components are then formed over all links.
+others are verified on their full sets, and what is linked gets its component's label. A bucket whose members have one label
+is done, as no further link could change anything. The others take as center the hub with most links that any of their members has
+met, and still list no pairs: x and y differ in just as many shingles as their differences from the center, X and Y, do, so they are
+linked only if X and Y overlap enough. Those differences are small where texts are alike, and what many texts share is not in them.
+An exact prefix filter finds the pairs whose differences can overlap that much (the places of the shared shingle bound the overlap
+as well), and these pairs are verified on their full sets. So no bucket is capped, no link is lost, and a large group of texts that
+are alike but not linked does not meet itself. Components are formed over all links.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked with nothing; shorter texts
 than a shingle have one; rows repeating id and text are one class; an id with several texts is one document a text, and each
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, hashed_words, mix, scratch, stored, table, text_hash, text_of
-from .components import components, settled
+from .components import merged, settled
 
 BANDS, ROWS, BIT_WORDS = 56, 6, 6
 SIZE = BANDS * ROWS
@@ -144,6 +148,57 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
+def cuts(n: int, a: int, hub: int, threshold: int) -> tuple[int, int]:
+    """How many shingles from the front of a difference of ``a`` shingles (of a set of n from a hub's) a probe looks up, and how many can be found."""
+    front = a - max(1, a - (100 - threshold) * n // threshold) + 1
+    overlap = -(-((100 + threshold) * a + (100 - threshold) * (hub - n)) // (2 * (100 + threshold)))
+    return max(0, front), max(0, min(front, a - max(1, overlap) + 1))
+
+
+def differences(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """How each (hub, rep, c, hub_c) row's set differs from its hub's: n (the set's size), a (shingles that one of the two lacks), linked (to the hub),
+    probe (of another label than the hub, and not linked to it), and the first shingles of the difference in a fixed order, of which
+    the first ``cut`` can be found by a probe.
+
+    Sets x and y are linked if and only if the overlap of their differences is (a + b - share * (|x| + |y|)) / 2 at least, where share is
+    (100 - threshold) / (100 + threshold). A probe has a > share * (|x| + |hub|), and no linked sets are more unequal than the threshold.
+    That gives the least overlap with any partner, and so how many shingles from the front must hold a common one."""
+    hubs = texts.select(F.col("rep").alias("hub"), F.col("text").alias("thub"))
+    rows = pairs.join(texts.select("rep", F.col("text").alias("trep")).hint("merge"), "rep").join(hubs.hint("merge"), "hub").select("hub", "rep", "c", "hub_c", "thub", "trep")
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("linked", pa.bool_()), ("probe", pa.bool_()), ("cut", pa.int64()), ("elements", pa.list_(pa.int64()))])
+
+    def run(batches):
+        last, own = None, None
+        for part, data, offsets in blocks(batches, "trep", 1 << 20):
+            out = []
+            for i, (hub, rep, c, hub_c) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)):
+                if hub != last:
+                    text = np.frombuffer(part.column(4)[i].as_buffer(), dtype=np.uint8)
+                    last, own = hub, shingles(hashed_words(text, np.array([0, len(text)]))[0], size)
+                text = data[offsets[i] : offsets[i + 1]]
+                x = shingles(hashed_words(text, np.array([0, len(text)]))[0], size)
+                more, less = np.setdiff1d(x, own, assume_unique=True), np.setdiff1d(own, x, assume_unique=True)
+                n, a = len(x), len(more) + len(less)
+                linked = (100 + threshold) * a <= (100 - threshold) * (n + len(own))
+                probe = c != hub_c and not linked
+                front, cut = cuts(n, a, len(own), threshold)
+                out.append((hub, rep, c, n, a, linked, probe, cut, np.concatenate([more, less])[: front if probe else cut].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "hub long, rep long, c long, n long, a long, linked boolean, probe boolean, cut long, elements array<long>")
+
+
+def possible(parts: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) pairs of different labels whose differences from a hub may overlap enough for a link."""
+    entries = parts.select("hub", "rep", "c", "n", "a", "probe", "cut", F.posexplode("elements").alias("place", "element"))
+    x = entries.where("probe").select("hub", "element", *(F.col(k).alias("x" + k) for k in ("rep", "c", "n", "a", "place")))
+    y = entries.where("place < cut").select("hub", "element", *(F.col(k).alias("y" + k) for k in ("rep", "c", "n", "a", "place")))
+    most = 2 * (100 + threshold) * F.least(F.col("xa") - F.col("xplace"), F.col("ya") - F.col("yplace"))
+    enough = (100 + threshold) * (F.col("xa") + F.col("ya")) - (100 - threshold) * (F.col("xn") + F.col("yn"))
+    pairs = x.join(y.hint("merge"), ["hub", "element"]).where((F.col("xc") != F.col("yc")) & (most >= enough))
+    return pairs.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
+
+
 def unlike(one: str, other: str) -> Column:
     """How many of the coordinates' bits differ."""
     return F.expr(" + ".join(f"bit_count({one}[{i}] ^ {other}[{i}])" for i in range(BIT_WORDS)))
@@ -183,23 +238,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("rep", "text")
     texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")), folder, "texts")
     links = stored(verified(hub_pairs, texts, size, threshold), folder, "links-hubs")
-    near = settled(links, folder)
+    near = merged(settled(links, folder), links, folder, "near")
     label = lambda df, column, name: df.join(near.select(F.col("vertex").alias(column), F.col("label").alias(name)).hint("merge"), column, "left").withColumn(name, F.coalesce(name, column))
-    # members of a bucket that are not in one component yet
-    at = stored(label(members.where("n > 2"), "rep", "c"), folder, "labelled")
+    # buckets whose members are not in one component yet, each with the best linked of the hubs that its members have met
+    at = stored(label(members.where("n > 2 and rep <> hub").select("key", "rep", "hub"), "rep", "c"), folder, "labelled")
     open_keys = stored(at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key"), folder, "open")
-    at = at.join(open_keys.hint("merge"), "key").where("rep <> hub").join(marks.hint("merge"), "rep")
-    at = stored(at.select("key", "rep", "c", "bits"), folder, "open-members")
-    one, other = at.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("bits").alias("ma")), at.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("bits").alias("mb"))
-    crossed = one.join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (unlike("ma", "mb") <= most_unlike(threshold))).select("a", "b")
-    rest = stored(crossed.distinct(), folder, "rest")
-    links = links.unionByName(stored(verified(rest, texts, size, threshold), folder, "links-rest"))
-    between = stored(label(label(links, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), folder, "between")
-    found = near.select("vertex", F.col("label").alias("component"))
-    if not between.isEmpty():
-        merged = stored(components(between, f"{folder}/merging").select(F.col("vertex").alias("component"), F.col("component").alias("into")), folder, "merged")
-        alone = merged.join(near.select(F.col("vertex").alias("component")), "component", "left_anti").select(F.col("component").alias("vertex"), F.col("into").alias("component"))
-        found = found.join(merged.hint("merge"), "component", "left").select("vertex", F.coalesce("into", "component").alias("component")).unionByName(alone)
+    at = stored(at.join(open_keys.hint("merge"), "key"), folder, "open-members")
+    degree = links.select(F.col("a").alias("hub")).unionByName(links.select(F.col("b").alias("hub"))).groupBy("hub").agg(F.count(F.lit(1)).alias("degree"))
+    met = at.select("rep", "hub").distinct().join(degree.hint("merge"), "hub", "left").select("rep", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "hub").alias("center"))
+    met = stored(met.groupBy("rep").agg(F.max("center").alias("center")), folder, "met")
+    centers = at.select("key", "rep").join(met.hint("merge"), "rep").groupBy("key").agg(F.max("center").alias("center")).select("key", F.col("center.hub").alias("hub"))
+    around = at.select("key", "rep", "c").join(stored(label(centers, "hub", "hub_c"), folder, "centers").hint("merge"), "key")
+    around = stored(around.where("rep <> hub").select("hub", "rep", "c", "hub_c").distinct(), folder, "around")
+    parts = stored(differences(around, texts, size, threshold), folder, "differences")
+    rest = stored(possible(parts, threshold), folder, "rest")
+    links = verified(rest, texts, size, threshold).unionByName(parts.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    found = merged(near, stored(links, folder, "links-rest"), folder, "found").select("vertex", F.col("label").alias("component"))
     # a class is in its number's component, which has the smallest id of all its classes, and a row is its class's
     placed = stored(classes.join(found.hint("merge"), F.col("rep") == F.col("vertex"), "left").select("s1", "s2", "doc_id", F.coalesce("component", "rep").alias("component")), folder, "placed")
     named = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "named")
