@@ -61,7 +61,7 @@ def without_runs(spans: DataFrame, items: DataFrame) -> DataFrame:
     return spans.select(*TRACE).distinct().join(items.select(*TRACE), list(TRACE), "left_anti")
 
 
-def backfill(spans: DataFrame, items: DataFrame, tagged: DataFrame, rounds: int = 5) -> DataFrame:
+def backfill(spans: DataFrame, items: DataFrame, tagged: DataFrame) -> DataFrame:
     """Spans with the run of the newest item that links their trace, for traces not tagged yet: the item's span is marked (its root if the item
     names none), and the mark is passed down to all descendants."""
     from .tree import propagate
@@ -70,4 +70,4 @@ def backfill(spans: DataFrame, items: DataFrame, tagged: DataFrame, rounds: int
     newest = newest.join(tagged.select(*TRACE).distinct(), list(TRACE), "left_anti")
     linked = spans.select(*TRACE, "span_id", F.when(F.col("parent_span_id") == "", F.lit("")).alias("_root"))
     marks = linked.join(newest, list(TRACE)).where((F.col("_obs") == F.col("span_id")) | (F.col("_obs") == F.col("_root"))).select(*TRACE, "span_id", F.struct("x.run_id", "x.item_id").alias("run"))
-    return propagate(spans.join(newest.select(*TRACE).distinct(), list(TRACE), "left_semi"), marks, "run", rounds).select(*TRACE, "span_id", "run.run_id", "run.item_id")
+    return propagate(spans.join(newest.select(*TRACE).distinct(), list(TRACE), "left_semi"), marks, "run").select(*TRACE, "span_id", "run.run_id", "run.item_id")

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def score_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """The 0-based bin of a score in bounds that are widened by a ten-thousandth, so that the highest value lies inside the last bin."""
+    return F.floor((x - low) / ((high - low + F.lit(0.0001)) / bins)).cast("int")
+
+
 def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
     """The 0-based bin of a value; the highest value is in the last bin, and equal bounds make one bin."""
     width = (high - low) / bins

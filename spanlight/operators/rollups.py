@@ -38,14 +38,14 @@ def prompt_metrics(spans: DataFrame) -> DataFrame:
 
 def score_aggregate(scores: DataFrame) -> DataFrame:
     """Scores by name, source and type, most frequent first."""
-    return scores.groupBy("name", "source", "data_type").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg"))
+    return scores.groupBy("name", "source", "data_type").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg")).orderBy(F.col("count").desc(), "name", "source", "data_type")
 
 
 def score_aggregate_merged(scores: DataFrame) -> DataFrame:
-    """Numeric averages and counts of categories in one list."""
+    """Numeric averages and counts of categories in one list, most frequent first."""
     numeric = scores.where(F.col("data_type") != "CATEGORICAL").groupBy("name", "source", "data_type").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg")).withColumn("string_value", F.lit(None).cast("string"))
     labels = scores.where(F.col("data_type") == "CATEGORICAL").groupBy("name", "source", "data_type", "string_value").agg(F.count(F.lit(1)).alias("count")).withColumn("avg", F.lit(None).cast("double"))
-    return numeric.unionByName(labels)
+    return numeric.unionByName(labels).orderBy(F.col("count").desc(), "name", "source", "data_type", "string_value")
 
 
 def usage_by_time(spans: DataFrame, column: str, granularity: str) -> DataFrame:

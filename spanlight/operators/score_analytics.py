@@ -11,11 +11,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlight.functions.scalars import sampled
+from spanlight.session import cut
 
-from .histogram import bin_of
+from .histogram import score_bin
 from .timeseries import bucket
 
-KEYS = ("trace_id", "observation_id", "session_id")
+KEYS = ("trace_id", "observation_id", "session_id", "run_id")
 UNMATCHED = "__unmatched__"
 
 
@@ -31,11 +32,16 @@ def chosen(scores: DataFrame, name: str, source: str | None = None, data_type: s
 
 def sample(scores: DataFrame, rate: float) -> DataFrame:
     """A share of the scores that is the same on every run: chosen by a hash of what they are matched on."""
-    return scores.where(sampled(F.concat_ws("|", *(F.coalesce(k, F.lit("")) for k in KEYS)), rate))
+    return scores.where(sampled(F.concat_ws("|", *(F.coalesce(k, F.lit("")) for k in KEYS[:3])), rate))
+
+
+def category() -> Column:
+    """A score's category: its string value, or else its number as text."""
+    return F.coalesce("string_value", F.col("value").cast("string"))
 
 
 def _keys(df: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
-    return df.select(*(F.coalesce(k, F.lit("")).alias(f"k_{k}") for k in keys), F.col("id").alias(f"id{n}"), F.col("value").alias(f"value{n}"), F.col("string_value").alias(f"category{n}"), F.col("timestamp").alias(f"timestamp{n}"))
+    return df.select(*(F.coalesce(k, F.lit("")).alias(f"k_{k}") for k in keys), F.col("id").alias(f"id{n}"), F.col("value").alias(f"value{n}"), category().alias(f"category{n}"), F.col("timestamp").alias(f"timestamp{n}"))
 
 
 def matched(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = KEYS, same: bool = False) -> DataFrame:
@@ -55,7 +61,7 @@ def heatmap(pairs: DataFrame, bins: int = 10) -> DataFrame:
     rows = pairs.where("value1 is not null and value2 is not null")
     edge = rows.agg(F.min("value1").alias("l1"), F.max("value1").alias("h1"), F.min("value2").alias("l2"), F.max("value2").alias("h2"))
     rows = rows.crossJoin(F.broadcast(edge))
-    return rows.groupBy(bin_of(F.col("value1"), F.col("l1"), F.col("h1"), bins).alias("bin_x"), bin_of(F.col("value2"), F.col("l2"), F.col("h2"), bins).alias("bin_y")).agg(F.count(F.lit(1)).alias("count"))
+    return rows.groupBy(score_bin(F.col("value1"), F.col("l1"), F.col("h1"), bins).alias("bin_x"), score_bin(F.col("value2"), F.col("l2"), F.col("h2"), bins).alias("bin_y")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -68,19 +74,19 @@ def distribution(scores: DataFrame, value: str = "value", bins: int = 10, low: C
     if low is None:
         rows = rows.crossJoin(F.broadcast(rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))))
         low, high = F.col("_low"), F.col("_high")
-    return rows.groupBy(bin_of(F.col(value), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return rows.groupBy(score_bin(F.col(value), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def shared_distribution(first: DataFrame, second: DataFrame, bins: int = 10) -> DataFrame:
     """Both scores by bin in their common bounds."""
     both = first.select(F.lit(1).alias("which"), "value").unionByName(second.select(F.lit(2).alias("which"), "value")).where("value is not null")
     both = both.crossJoin(F.broadcast(both.agg(F.min("value").alias("_low"), F.max("value").alias("_high"))))
-    return both.groupBy("which", bin_of(F.col("value"), F.col("_low"), F.col("_high"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return both.groupBy("which", score_bin(F.col("value"), F.col("_low"), F.col("_high"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def categories(scores: DataFrame) -> DataFrame:
     """Categories with their counts and their place in alphabetical order."""
-    out = scores.where("string_value is not null").groupBy(F.col("string_value").alias("category")).agg(F.count(F.lit(1)).alias("count"))
+    out = scores.where("string_value is not null or value is not null").groupBy(category().alias("category")).agg(F.count(F.lit(1)).alias("count"))
     return out.withColumn("place", F.row_number().over(Window.orderBy("category")) - 1)
 
 
@@ -108,7 +114,8 @@ def average_ranks(pairs: DataFrame, column: str, out: str) -> DataFrame:
     """Ranks with ties averaged. Ranks are running counts over the distinct values, which are few beside the rows: the values' counts
     are ranged by value, each range's total is summed up, and the sums are joined back."""
     values = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("_m"))
-    ranged = values.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    # stored, as each evaluation of the range partitioning may cut elsewhere
+    ranged = cut(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("_m").alias("_t"))
     before = totals.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_before"))
     inside = ranged.withColumn("_upto", F.sum("_m").over(Window.partitionBy("_part").orderBy(column)))
@@ -118,7 +125,7 @@ def average_ranks(pairs: DataFrame, column: str, out: str) -> DataFrame:
 
 def statistics(first: DataFrame, second: DataFrame, pairs: DataFrame) -> DataFrame:
     """Means and deviations of both scores; errors and correlations of the pairs (NULL where a side is constant)."""
-    own = lambda df, n: df.agg(F.avg("value").alias(f"mean{n}"), F.stddev_samp("value").alias(f"std{n}"))
+    own = lambda df, n: df.agg(F.avg("value").alias(f"mean{n}"), F.stddev_pop("value").alias(f"std{n}"))
     rows = pairs.where("value1 is not null and value2 is not null").select("value1", "value2")
     ranked = average_ranks(average_ranks(rows, "value1", "r1"), "value2", "r2")
     gap = F.col("value1") - F.col("value2")

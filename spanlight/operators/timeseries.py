@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 GRANULARITIES = ("minute", "hour", "day", "week", "month")
 #: Candidate bucket lengths in seconds for charts of about 50 buckets.
-BUCKET_SECONDS = (1, 5, 10, 30, 60, 300, 600, 1800, 3600, 10800, 86400, 604800, 2592000)
+BUCKET_SECONDS = (5, 10, 30, 60, 300, 600, 1800, 3600, 18000, 36000, 86400, 604800, 2592000)
 
 
 def auto_granularity(start: dt.datetime, end: dt.datetime) -> str:

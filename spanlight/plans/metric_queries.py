@@ -11,7 +11,7 @@ from spanlight.sources import star
 from spanlight.sources.star import oracle
 
 from . import metrics
-from .registry import query
+from .registry import query, r4
 
 ALL_TIME = ("1990-01-01", "2030-01-01")
 LAT = "date_sub('millisecond', start_time, end_time)"
@@ -23,10 +23,6 @@ def frames(spark, sf_dir):
     return {"spans": star.spans(spark, sf_dir), "scores": star.scores(spark, sf_dir)}
 
 
-def r4(x: str) -> str:
-    return f"round({x}, 4)::DOUBLE"
-
-
 def total(x: str) -> str:
     return r4(f"coalesce(sum({x}), 0)")
 

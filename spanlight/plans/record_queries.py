@@ -11,11 +11,7 @@ from spanlight.sources import sinks, star
 from spanlight.sources.star import oracle
 from spanlight.streaming import ingest
 
-from .registry import query
-
-
-def r4(x: str) -> str:
-    return f"round({x}, 4)::DOUBLE"
+from .registry import query, r4
 
 
 @query("latest_version", oracle("SELECT l_orderkey || '-' || l_linenumber AS span_id, l_shipdate AS event_ts, l_partkey, l_quantity FROM line"))

@@ -12,11 +12,7 @@ from spanlight.operators import score_analytics as sa
 from spanlight.sources import reader, sinks, star
 from spanlight.sources.star import oracle
 
-from .registry import query
-
-
-def r4(x: str) -> str:
-    return f"round({x}, 4)::DOUBLE"
+from .registry import query, r4
 
 
 _STATS = f"""stats AS (SELECT project_id, trace_id, count(*) AS n_observations, count(*) FILTER (level = 'DEBUG') AS n_debug, count(*) FILTER (level = 'DEFAULT') AS n_default, count(*) FILTER (level = 'WARNING') AS n_warning,
@@ -262,7 +258,7 @@ def _without_runs(spark, sf_dir):
 
 # score analytics: clicks against purchases, on the trace
 _S12 = "s1 AS (SELECT * FROM scores WHERE name = 'click'), s2 AS (SELECT * FROM scores WHERE name = 'purchase'), pairs AS (SELECT s1.value AS v1, s2.value AS v2, s1.timestamp AS t1 FROM s1 JOIN s2 USING (trace_id))"
-_BIN = "CASE WHEN h{0} = l{0} THEN 0 ELSE least(floor((v{0} - l{0}) / ((h{0} - l{0}) / 10)), 9) END::BIGINT"
+_BIN = "floor((v{0} - l{0}) / ((h{0} - l{0} + 0.0001::DOUBLE) / 10))::BIGINT"
 
 
 def _two(spark, sf_dir, a="click", b="purchase"):
@@ -276,12 +272,26 @@ def _score_counts(spark, sf_dir):
     return sa.counts(*_two(spark, sf_dir))
 
 
+@query("score_matched", oracle("""SELECT a.id AS id1, b.id AS id2, a.value AS value1, b.value AS value2 FROM s1 a JOIN s2 b ON coalesce(a.trace_id, '') = coalesce(b.trace_id, '')
+  AND coalesce(a.observation_id, '') = coalesce(b.observation_id, '') AND coalesce(a.run_id, '') = coalesce(b.run_id, '')""", _S12))
+def _matched(spark, sf_dir):
+    scores = star.scores(spark, sf_dir)
+    return sa.matched(sa.chosen(scores, "click"), sa.chosen(scores, "purchase"), ("trace_id", "observation_id", "run_id")).select("id1", "id2", "value1", "value2")
+
+
+@query("score_matched_all_keys", oracle("""SELECT count(*) AS n FROM scores a JOIN scores b ON a.trace_id = b.trace_id AND coalesce(a.observation_id, '') = coalesce(b.observation_id, '')
+  AND coalesce(a.session_id, '') = coalesce(b.session_id, '') AND coalesce(a.run_id, '') = coalesce(b.run_id, '') WHERE a.name = 'click' AND b.name = 'click'"""))
+def _matched_all(spark, sf_dir):
+    first = sa.chosen(star.scores(spark, sf_dir), "click")
+    return sa.matched(first, first).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("score_heatmap", oracle(f"SELECT {_BIN.format(1)} AS bin_x, {_BIN.format(2)} AS bin_y, count(*) AS count FROM pairs, (SELECT min(v1) AS l1, max(v1) AS h1, min(v2) AS l2, max(v2) AS h2 FROM pairs) GROUP BY 1, 2", _S12))
 def _heatmap(spark, sf_dir):
     return sa.heatmap(_two(spark, sf_dir)[2])
 
 
-@query("score_confusion", oracle("SELECT a.string_value AS category1, b.string_value AS category2, count(*) AS count FROM scores a JOIN scores b USING (trace_id) WHERE a.name = 'error' AND b.name = 'signup' GROUP BY 1, 2"))
+@query("score_confusion", oracle("SELECT coalesce(a.string_value, a.value::VARCHAR) AS category1, coalesce(b.string_value, b.value::VARCHAR) AS category2, count(*) AS count FROM scores a JOIN scores b USING (trace_id) WHERE a.name = 'error' AND b.name = 'signup' GROUP BY 1, 2"))
 def _confusion(spark, sf_dir):
     return sa.confusion(_two(spark, sf_dir, "error", "signup")[2])
 
@@ -324,7 +334,7 @@ def _timeseries_categories(spark, sf_dir):
 
 
 @query("score_statistics", oracle(f"""SELECT count(*) AS n_matched, {r4('corr(v1, v2)')} AS pearson, {r4('avg(abs(v1 - v2))')} AS mae, {r4('sqrt(avg((v1 - v2) * (v1 - v2)))')} AS rmse, {r4('corr(r1, r2)')} AS spearman,
-  {r4('(SELECT avg(value) FROM s1)')} AS mean1, {r4('(SELECT stddev_samp(value) FROM s1)')} AS std1, {r4('(SELECT avg(value) FROM s2)')} AS mean2, {r4('(SELECT stddev_samp(value) FROM s2)')} AS std2
+  {r4('(SELECT avg(value) FROM s1)')} AS mean1, {r4('(SELECT stddev_pop(value) FROM s1)')} AS std1, {r4('(SELECT avg(value) FROM s2)')} AS mean2, {r4('(SELECT stddev_pop(value) FROM s2)')} AS std2
   FROM (SELECT v1, v2, rank() OVER (ORDER BY v1) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0::DOUBLE AS r1, rank() OVER (ORDER BY v2) + (count(*) OVER (PARTITION BY v2) - 1) / 2.0::DOUBLE AS r2 FROM pairs)""", _S12))
 def _statistics(spark, sf_dir):
     return sa.statistics(*_two(spark, sf_dir))
@@ -392,19 +402,42 @@ _UP = "WITH RECURSIVE" + oracle("", "up AS (SELECT project_id, trace_id, span_id
 @query("tree_descendants", _UP + " SELECT project_id, trace_id, ancestor, span_id, distance::BIGINT AS distance FROM up WHERE ancestor LIKE 'r%' AND distance > 0")
 def _descendants(spark, sf_dir):
     spans = star.spans(spark, sf_dir)
-    return tree.descendants(spans, tables.roots(spans), 3).where("distance > 0")
+    return tree.descendants(spans, tables.roots(spans)).where("distance > 0")
 
 
-@query("tree_recursive_cost", _UP + f" SELECT u.project_id, u.trace_id, u.ancestor AS span_id, {r4('sum(s.total_cost)')} AS total_cost, count(*) - 1 AS n_descendants, max(u.distance)::BIGINT AS height FROM up u JOIN spans s USING (project_id, trace_id, span_id) GROUP BY 1, 2, 3")
+@query("tree_recursive_cost", _UP + f" SELECT u.project_id, u.trace_id, u.ancestor AS span_id, {r4('nullif(sum(CASE WHEN coalesce(s.total_cost, 0) <> 0 THEN s.total_cost ELSE coalesce(s.c_input, 0) + coalesce(s.c_output, 0) END), 0)')} AS total_cost, count(*) - 1 AS n_descendants, max(u.distance)::BIGINT AS height FROM up u JOIN spans s USING (project_id, trace_id, span_id) GROUP BY 1, 2, 3")
 def _recursive_cost(spark, sf_dir):
-    return tree.rolled_up(star.spans(spark, sf_dir), rounds=3)
+    return tree.recursive_cost(star.spans(spark, sf_dir))
 
 
 @query("tree_propagate", _UP + " SELECT project_id, trace_id, span_id, arg_min(run, distance) AS run FROM (SELECT u.*, 'x' || ancestor AS run FROM up u WHERE ancestor LIKE 'r%' OR ancestor LIKE '%-2') GROUP BY 1, 2, 3")
 def _propagate(spark, sf_dir):
     spans = star.spans(spark, sf_dir)
     marks = spans.where("span_id LIKE 'r%' OR span_id LIKE '%-2'").withColumn("run", F.concat(F.lit("x"), "span_id"))
-    return tree.propagate(spans, marks, "run", 3)
+    return tree.propagate(spans, marks, "run")
+
+
+def _chains(spark, sf_dir):
+    """A chain a customer: each order's span hangs below the customer's order before it."""
+    return star.table(spark, sf_dir, "orders").selectExpr(
+        "'p' AS project_id", "cast(o_custkey AS string) AS trace_id", "cast(o_orderkey AS string) AS span_id", "coalesce(cast(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS string), '') AS parent_span_id",
+        "cast(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_totalprice END AS decimal(18, 8)) AS total_cost", "map('input', cast(o_custkey % 5 AS decimal(18, 8)), 'output', cast(o_orderkey % 7 AS decimal(18, 8))) AS cost_details")
+
+
+_CHAIN = "chain AS (SELECT o_custkey::VARCHAR AS trace_id, o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_totalprice = 0 THEN o_custkey % 5 + o_orderkey % 7 ELSE o_totalprice END::DECIMAL(18, 8) AS cost FROM orders)"
+_BELOW = "OVER (PARTITION BY trace_id ORDER BY o_orderkey DESC)"
+
+
+@query("tree_deep_cost", oracle(f"SELECT trace_id, o_orderkey::VARCHAR AS span_id, {r4(f'nullif(sum(cost) {_BELOW}, 0)')} AS total_cost, count(*) {_BELOW} - 1 AS n_descendants, count(*) {_BELOW} - 1 AS height FROM chain", _CHAIN))
+def _deep_cost(spark, sf_dir):
+    return tree.recursive_cost(_chains(spark, sf_dir)).drop("project_id")
+
+
+@query("tree_deep_backfill", oracle("SELECT trace_id, o_orderkey::VARCHAR AS span_id, first_value(o_orderkey) OVER (PARTITION BY trace_id ORDER BY o_orderkey)::VARCHAR AS run_id, 'i' || trace_id AS item_id FROM chain", _CHAIN))
+def _deep_backfill(spark, sf_dir):
+    spans = _chains(spark, sf_dir)
+    items = spans.where("parent_span_id = ''").select("project_id", "trace_id", F.lit(None).cast("string").alias("observation_id"), F.lit(dt.datetime(2024, 1, 1)).alias("created_at"), F.lit(1).alias("seq"), F.col("span_id").alias("run_id"), F.concat(F.lit("i"), "trace_id").alias("item_id"))
+    return datasets.backfill(spans, items, items.limit(0)).drop("project_id")
 
 
 @query("export_score_columns", oracle(f"""SELECT trace_id, span_id, {r4("avg(value) FILTER (s.name = 'click')")} AS click, {r4("avg(value) FILTER (s.name = 'view')")} AS view FROM root r LEFT JOIN scores s USING (trace_id) GROUP BY 1, 2"""))
@@ -425,7 +458,7 @@ def _hash_sample(spark, sf_dir):
 @query("experiment_backfill", _UP + " SELECT u.project_id, u.trace_id, u.span_id, run_id, item_id FROM up u JOIN run_items i USING (project_id, trace_id) WHERE ancestor LIKE 'r%' AND run_id <> 'P'")
 def _backfill(spark, sf_dir):
     items = star.run_items(spark, sf_dir)
-    return datasets.backfill(star.spans(spark, sf_dir), items, items.where("run_id = 'P'"), 3)
+    return datasets.backfill(star.spans(spark, sf_dir), items, items.where("run_id = 'P'"))
 
 
 @query("read_bound_sql", oracle("SELECT trace_id, count(*) AS n FROM spans WHERE level = 'WARNING' AND start_time >= TIMESTAMP '1999-01-01' GROUP BY 1"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,10 +27,25 @@ def get_session(app: str = "spanlight", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset and the master is this machine, as in tests, a local
+    temporary folder is set for the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spanlight-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``). Only where that is unset, as in tests
-    on one machine, a local temporary folder is set for the session."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanlight-"))
-    return df.checkpoint()
+    """df with its lineage cut: written to the shared folder and read back, so lost executors lose nothing and the next plan knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has ``most`` rows at the most (they are counted), else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

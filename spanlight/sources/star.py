@@ -74,7 +74,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE event_type WHEN 'error' THEN 'BOOLEAN' WHEN 'signup' THEN 'CATEGORICAL' ELSE 'NUMERIC' END AS data_type",
         "CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 1D ELSE 0D END WHEN 'signup' THEN cast(NULL AS double) ELSE value END AS value",
         "CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 'True' ELSE 'False' END WHEN 'signup' THEN CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END END AS string_value",
-        "ts AS timestamp", "props AS metadata", "event_id")
+        "CASE WHEN event_id % 6 = 0 THEN concat('run', event_id div 5 % 3) END AS run_id", "ts AS timestamp", "props AS metadata", "event_id")
 
 
 def run_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ scores AS (
     CASE event_type WHEN 'error' THEN 'BOOLEAN' WHEN 'signup' THEN 'CATEGORICAL' ELSE 'NUMERIC' END AS data_type,
     CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN 'signup' THEN NULL ELSE value END AS value,
     CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 'True' ELSE 'False' END WHEN 'signup' THEN CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END END AS string_value,
-    ts AS timestamp, props AS metadata, event_id FROM events),
+    CASE WHEN event_id % 6 = 0 THEN 'run' || (event_id // 5 % 3) END AS run_id, ts AS timestamp, props AS metadata, event_id FROM events),
 run_items AS (
   SELECT 'p' || (o_custkey % 3) AS project_id, 'ds' AS dataset_id, o_orderstatus AS run_id, o_custkey::VARCHAR AS item_id, o_orderkey::VARCHAR AS trace_id, NULL::VARCHAR AS observation_id, o_orderdate AS created_at, o_orderkey AS seq FROM orders),
 item_versions AS (

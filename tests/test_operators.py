@@ -87,13 +87,44 @@ def test_lucene(spark):
 def test_tree_with_orphans_and_cycles(spark):
     rows = [("r", ""), ("a", "r"), ("b", "a"), ("o", "lost"), ("s", "s"), ("x", "y"), ("y", "x")]
     df = spark.createDataFrame([("p", "t", i, q, 1.0) for i, q in rows], "project_id string, trace_id string, span_id string, parent_span_id string, cost double")
-    out = {r["span_id"]: (r["cost"], r["n_descendants"]) for r in tree.rolled_up(df, "cost", 3).collect()}
-    assert out["r"] == (3.0, 2) and out["a"] == (2.0, 1) and out["o"] == (1.0, 0) and out["s"] == (1.0, 0) and out["x"] == (2.0, 1)
+    out = {r["span_id"]: (r["cost"], r["n_descendants"]) for r in tree.rolled_up(df, "cost").collect()}
+    assert out["r"] == (3.0, 2) and out["a"] == (2.0, 1) and out["o"] == (1.0, 0) and out["s"] == (1.0, 0) and out["x"] == (2.0, 1) and out["y"] == (2.0, 1)
+
+
+def test_deep_trees(spark):
+    """A chain of 1,000 spans, and a cycle of 100 with a chain of 50 below it."""
+    rows = [("t", f"c{i}", f"c{i - 1}" if i else "") for i in range(1000)] + [("u", f"r{i}", f"r{(i + 1) % 100}") for i in range(100)] + [("u", f"d{i}", f"d{i - 1}" if i else "r7") for i in range(50)]
+    df = spark.createDataFrame([("p", t, i, q, 1) for t, i, q in rows], "project_id string, trace_id string, span_id string, parent_span_id string, cost bigint")
+    out = {r["span_id"]: (r["cost"], r["n_descendants"], r["height"]) for r in tree.rolled_up(df, "cost").collect()}
+    assert len(out) == 1150 and all(out[f"c{i}"] == (1000 - i, 999 - i, 999 - i) for i in range(1000))
+    assert all(out[f"r{i}"][:2] == (150, 149) for i in range(100)) and all(out[f"d{i}"] == (50 - i, 49 - i, 49 - i) for i in range(50))
+    marks = df.where("span_id IN ('c0', 'c500', 'r3')").select("project_id", "trace_id", "span_id", F.col("span_id").alias("m"))
+    found = {r["span_id"]: r["m"] for r in tree.propagate(df, marks, "m").collect()}
+    assert found["c499"] == "c0" and found["c999"] == "c500" and found["r3"] == "r3" and found["r4"] == "r3" and found["d49"] == "r3" and len(found) == 1150
+    assert {r["span_id"] for r in tree.propagate(df, marks.where("m = 'c500'"), "m").collect()} == {f"c{i}" for i in range(500, 1000)}
+    short = df.where("trace_id = 't' AND cast(substr(span_id, 2) AS int) < 80")
+    assert tree.descendants(short, short.where("span_id = 'c0'")).agg(F.max("distance")).first()[0] == 79
+
+
+def test_own_cost(spark):
+    df = spark.createDataFrame([(1, 5.0, {"input": 1.0}), (2, 0.0, {"input": 1.0, "output": 2.0}), (3, None, {}), (4, None, None)], "id int, total_cost double, cost_details map<string, double>")
+    assert [r[0] for r in df.orderBy("id").select(tree.own_cost()).collect()] == [5.0, 3.0, 0.0, 0.0]
+
+
+def test_score_bins(spark):
+    low, high = F.lit(0.0), F.lit(10.0)
+    assert spark.createDataFrame([(0.0,), (0.99,), (1.0,), (1.00001,), (9.99,), (10.0,)], "v double").select(histogram.score_bin(F.col("v"), low, high, 10)).toPandas().iloc[:, 0].tolist() == [0, 0, 0, 1, 9, 9]
+    assert spark.range(1).select(histogram.score_bin(F.lit(3.0), F.lit(3.0), F.lit(3.0), 10)).first()[0] == 0
+
+
+def test_bucket_seconds():
+    start = dt.datetime(2024, 1, 1)
+    assert [timeseries.bucket_seconds(start, start + dt.timedelta(seconds=s)) for s in (50, 250, 60 * 50, 10 * 86400, 60 * 86400)] == [5, 5, 60, 18000, 86400]
 
 
 def test_constant_scores_have_no_correlation(spark):
-    schema = "id string, trace_id string, observation_id string, session_id string, value double, string_value string, timestamp timestamp_ntz"
-    make = lambda values: spark.createDataFrame([(str(i), str(i), None if i else "", None, v, None, dt.datetime(2024, 1, 1)) for i, v in enumerate(values)], schema)
+    schema = "id string, trace_id string, observation_id string, session_id string, run_id string, value double, string_value string, timestamp timestamp_ntz"
+    make = lambda values: spark.createDataFrame([(str(i), str(i), None if i else "", None, None, v, None, dt.datetime(2024, 1, 1)) for i, v in enumerate(values)], schema)
     first, second = make([1.0, 1.0, 1.0]), make([1.0, 2.0, 3.0])
     out = sa.statistics(first, second, sa.matched(first, second)).first()
     assert out["n_matched"] == 3 and out["pearson"] is None and out["spearman"] is None and out["mae"] == 1.0
