@@ -114,7 +114,7 @@ def position_in_trace(spans: DataFrame, mode: str, n: int = 1, order: tuple[str,
     back = mode != "nthFromStart"
     n = 1 if mode == "last" else n
     if n == 1:  # an extreme needs no window
-        pick = (F.max if back else F.min)(F.struct(*order, *(F.col(c) for c in spans.columns if c not in order and c not in ("project_id", "trace_id") and not dict(spans.dtypes)[c].startswith("map"))))
+        pick = (F.max if back else F.min)(F.struct(*order))
         ends = spans.groupBy("project_id", "trace_id").agg(pick.alias("x")).select("project_id", "trace_id", *(F.col(f"x.{c}").alias(c) for c in order))
         return spans.join(ends, ["project_id", "trace_id", *order], "left_semi")
     by = [F.col(c).desc() if back else F.col(c).asc() for c in order]

@@ -89,3 +89,31 @@ def pivot_report(df: DataFrame, rows: list[str], value: str) -> DataFrame:
     out = df.rollup(*rows).agg(F.sum(value).alias("sum"), F.avg(value).alias("avg"), F.count(value).alias("count"), *(F.grouping(c).alias(f"_g_{c}") for c in rows))
     depth = sum((1 - F.col(f"_g_{c}") for c in rows), F.lit(0))
     return out.select(depth.cast("int").alias("depth"), *rows, "sum", "avg", "count")
+
+
+def pivot_sorted(report: DataFrame, rows: list[str], by: str = "sum", descending: bool = True) -> DataFrame:
+    """A pivot table in display order: groups by their subtotal, each one's subtotal before its parts, and the total first."""
+    way = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_last())
+    out, order = report, []
+    for i in range(len(rows)):
+        head = report.where(F.col("depth") == i + 1).select(*(F.col(c).alias(f"_k_{c}") for c in rows[: i + 1]), F.col(by).alias(f"_by_{i}"))
+        out = out.join(head, (F.col("depth") > i) & F.lit(True) & _all_equal(rows[: i + 1]), "left").drop(*(f"_k_{c}" for c in rows[: i + 1]))
+        order += [(F.col("depth") > i).asc(), way(F.col(f"_by_{i}")), F.col(rows[i]).asc_nulls_first()]
+    return out.orderBy(*order).select(*report.columns)
+
+
+def _all_equal(rows: list[str]):
+    out = F.lit(True)
+    for c in rows:
+        out = out & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return out
+
+
+def distinct_links(items: DataFrame, *columns: str) -> DataFrame:
+    """How many distinct combinations of columns there are; one with a NULL in it does not count."""
+    return items.agg(F.count_distinct(*columns).alias("n"))
+
+
+def change_counts(changes: DataFrame, *keys: str) -> DataFrame:
+    """Upserts and deletes by key, of rows with a flag ``is_deleted``."""
+    return changes.groupBy(*keys).agg(F.count_if(~F.col("is_deleted")).alias("n_upserted"), F.count_if(F.col("is_deleted")).alias("n_deleted"), F.count(F.lit(1)).alias("n_changes"))

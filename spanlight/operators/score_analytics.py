@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlight.functions.scalars import sampled
-from spanlight.session import cut
+from spanlight.session import cut, sized
 
 from .histogram import score_bin
 from .timeseries import bucket
@@ -146,3 +146,48 @@ def agreement(table: DataFrame) -> DataFrame:
     observed, expected = F.col("same") / F.col("n"), F.col("_e") / (F.col("n") * F.col("n"))
     kappa = F.when(expected == 1, F.lit(1.0)).otherwise((observed - expected) / (1 - expected))
     return out.where("n is not null").select("n", observed.alias("agreement"), kappa.alias("kappa"), (F.col("_f") / F.col("n")).alias("weighted_f1"))
+
+
+#: The two categories of a boolean score, in the order of a chart.
+BOOLEAN_CATEGORIES = ("False", "True")
+
+
+def category_domain(scores: DataFrame, data_type: str) -> DataFrame:
+    """The categories of a chart: both values of a boolean score, whatever stands in the rows, else those that the rows have."""
+    if data_type == "BOOLEAN":
+        return scores.sparkSession.createDataFrame([(c,) for c in BOOLEAN_CATEGORIES], "category string")
+    return scores.select(category().alias("category")).where("category is not null").distinct()
+
+
+def filled_categories(scores: DataFrame, data_type: str) -> DataFrame:
+    """Counts by category, 0 for a category of the domain that no row has."""
+    found = scores.groupBy(category().alias("category")).agg(F.count(F.lit(1)).alias("count"))
+    return category_domain(scores, data_type).join(found, "category", "left").select("category", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def filled_bins(counts: DataFrame, bins: int, bin: str = "bin", count: str = "count") -> DataFrame:
+    """All bins of a histogram, 0 for those without a row."""
+    every = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias(bin))
+    return every.join(counts.select(bin, count), bin, "left").select(bin, F.coalesce(count, F.lit(0)).alias(count))
+
+
+def most_frequent(scores: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mode, count): the most frequent category of each key, the first by name of equally frequent ones."""
+    counts = scores.where(category().isNotNull()).groupBy(*keys, category().alias("mode")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("_n"), "mode")).alias("x")).select(*keys, "x.mode", (-F.col("x._n")).alias("count"))
+
+
+def root_histogram(scores: DataFrame, value: str = "value") -> DataFrame:
+    """A histogram with as many bins as the square root of the number of values, rounded up."""
+    rows = scores.where(F.col(value).isNotNull())
+    edge = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.ceil(F.sqrt(F.count(F.lit(1)))).cast("int").alias("bins"))
+    width = (F.col("_high") - F.col("_low")) / F.col("bins")
+    at = F.when(F.col("_high") == F.col("_low"), F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("_low"), width)), F.col("bins") - 1)).cast("int")
+    return rows.crossJoin(F.broadcast(edge)).groupBy(at.alias("bin"), "bins").agg(F.count(F.lit(1)).alias("count"))
+
+
+def filled_category_series(series: DataFrame, times: DataFrame, time: str = "time_dimension") -> DataFrame:
+    """A row for each bucket of ``times`` and each category of the series, 0 where the series has none. The buckets and the categories of a chart are
+    few, and both are counted before the frame is broadcast."""
+    frame = times.select(time).crossJoin(sized(series.select("category").distinct()))
+    return frame.join(series, [time, "category"], "left").select(time, "category", F.coalesce("count", F.lit(0)).alias("count"))

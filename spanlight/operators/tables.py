@@ -177,3 +177,43 @@ def capped(spans: DataFrame, trace: str, cap: int = 10_000) -> DataFrame:
 def exists(df: DataFrame) -> DataFrame:
     """One row: whether the frame has any."""
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def page_with_total(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """A page of rows with their number in the whole order and how many there are in all. The total is a count of its own, and the numbers are the page's
+    place, so no window runs over all rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    rows = offset_page(df, order, page, size)
+    numbered = rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)) + F.lit(page * size))  # over a page's rows
+    return numbered.crossJoin(F.broadcast(total))
+
+
+def default_order(descending: bool = True) -> list[Column]:
+    """The order of the trace table where none is asked for: by day, by time, and the newest version first."""
+    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    return [way(F.to_date("start_time")), way(F.col("start_time")), F.col("event_ts").desc()]
+
+
+def limited_then_joined(df: DataFrame, order: list[Column], n: int, other: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """The first n rows, joined afterwards: what the join drops is not made up for by later rows."""
+    return df.orderBy(*order).limit(n).join(other, on, how)
+
+
+def any_true(df: DataFrame, flag: str | Column, *keys: str) -> DataFrame:
+    """(keys, flag): whether the flag holds on any row of the key."""
+    c = F.col(flag) if isinstance(flag, str) else flag
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(c), F.lit(False)).alias("flag"))
+
+
+def session_metrics(spans: DataFrame) -> DataFrame:
+    """Sessions over all their spans: range, traces, users, tags and cost; arrays are distinct and sorted."""
+    rows = spans.where(blank_to_null("session_id").isNotNull())
+    return rows.groupBy("project_id", "session_id").agg(
+        F.min("start_time").alias("first_at"), F.max("start_time").alias("last_at"), F.array_sort(F.collect_set("trace_id")).alias("trace_ids"), F.array_sort(F.collect_set(blank_to_null("user_id"))).alias("user_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.sum("total_cost").alias("total_cost"))
+
+
+def since_first(df: DataFrame, time: str, of: DataFrame, of_time: str, slack: str = "1 DAY") -> DataFrame:
+    """Rows from a little before the first time of another frame on, by a scalar subquery of one row that the scan is pruned by."""
+    first = of.agg((F.min(of_time) - F.expr(f"INTERVAL {slack}")).alias("_first"))
+    return df.join(F.broadcast(first), F.col(time) >= F.col("_first")).drop("_first")

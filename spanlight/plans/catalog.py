@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, record_queries, table_queries  # noqa: F401  they register their queries
+from . import export_queries, metric_queries, record_queries, table_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_obs_cost_by_model_daily"

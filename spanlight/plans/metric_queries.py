@@ -155,7 +155,7 @@ for _name, _field in (("explode_tool_names", "toolNames"), ("explode_called_tool
 
 metric(
     "metrics_top_users",
-    oracle(f"""SELECT user_id AS "userId", {total('total_cost')} AS "sum_totalCost" FROM spans GROUP BY 1 ORDER BY coalesce(sum(total_cost), 0) DESC, 1 LIMIT 25"""),
+    oracle(f"""SELECT nullif(user_id, '') AS "userId", {total('total_cost')} AS "sum_totalCost" FROM spans GROUP BY 1 ORDER BY coalesce(sum(total_cost), 0) DESC, 1 NULLS FIRST LIMIT 25"""),
     view="observations", dimensions=d("userId"), metrics=[m("totalCost", "sum")], orderBy=[{"field": "sum_totalCost", "direction": "desc"}], rowLimit=25)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanlight.operators import filters as algebra
 from spanlight.operators import timeseries
 from spanlight.operators.histogram import binned
+from spanlight.operators.public_api import raw
 
 from .views import Dimension, Measure, View, build_views
 
@@ -77,10 +78,19 @@ def guard_cardinality(query: Mapping) -> None:
     """Queries by a dimension of very many values must be top lists: a row limit, a descending metric first, and no time dimension."""
     if not any(d["field"] in HIGH_CARDINALITY for d in query.get("dimensions", ())):
         return
-    order = query.get("orderBy") or []
+    down = [o["field"] for o in query.get("orderBy") or [] if o["direction"] == "desc"]
     names = [f"{m['aggregation']}_{m['measure']}" for m in query["metrics"]]
-    if query.get("timeDimension") or not query.get("rowLimit") or not order or order[0]["field"] not in names or order[0]["direction"] != "desc":
-        raise QueryError("a dimension with very many values needs rowLimit, a descending metric in orderBy and no timeDimension")
+    if query.get("timeDimension") or not query.get("rowLimit") or not down or not set(down) <= set(names):
+        raise QueryError("a dimension with very many values needs rowLimit, descending metrics in orderBy and no timeDimension")
+
+
+def widget_order(chart: str, sort: Mapping | None, needs_top: bool, first: Mapping | None) -> list[dict] | None:
+    """The orderBy of a dashboard's widget: a pivot table's own sorting, else the first metric descending where a top list is needed."""
+    if chart == "PIVOT_TABLE" and sort:
+        return [{"field": sort["column"], "direction": sort["order"].lower()}]
+    if needs_top and first:
+        return [{"field": f"{first['aggregation']}_{first['measure']}", "direction": "desc"}]
+    return None
 
 
 def default_order(query: Mapping) -> list[dict]:
@@ -97,9 +107,17 @@ def _value(d: Dimension) -> Column:
     return F.col(d.expr) if isinstance(d.expr, str) else d.expr
 
 
-def compile_query(query: Mapping, frames: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
-    """The DataFrame of a query over the frames ``spans`` and ``scores``."""
+def _shown(d: Dimension) -> Column:
+    """A dimension to group by; filters see the raw column."""
+    return F.nullif(_value(d), F.lit("")) if d.empty_is_null else _value(d)
+
+
+def compile_query(query: Mapping, frames: Mapping[str, DataFrame], exact: bool = True, guard: bool = True, trusted: bool = False) -> DataFrame:
+    """The DataFrame of a query over the frames ``spans`` and ``scores``. With ``guard``, dimensions of very many values are for top lists only.
+    ``rawFilter`` is a SQL condition on the base's columns that a trusted caller adds."""
     view = validate(query)
+    if guard:
+        guard_cardinality(query)
     window = lambda column: ((F.col(column) >= _stamp(query["fromTimestamp"])) & (F.col(column) <= _stamp(query["toTimestamp"]))) if query.get("fromTimestamp") else F.lit(True)
     names = [d["field"] for d in query.get("dimensions", ())]
     for m in query["metrics"]:
@@ -113,18 +131,19 @@ def compile_query(query: Mapping, frames: Mapping[str, DataFrame], exact: bool =
     base = frames[view.frame].where(window(view.time))
     if view.segment is not None:
         base = base.where(view.segment)
+    base = raw(base, query.get("rawFilter"), trusted)
     own = {n: _value(d) for n, d in view.dimensions.items() if not d.relation and not d.explode}
     own |= {"metadata": F.col("metadata"), "startTime": F.col(view.time), "timestamp": F.col(view.time)} | {n: m.expr for n, m in view.measures.items() if not m.relation and not m.needs and m.numeric}
     base = base.where(algebra.all_of([f for f in filters if not of_filter[id(f)]], own))
     for name in dict.fromkeys([x.relation for x in (*dims.values(), *measures.values()) if x.relation] + [r for r in of_filter.values() if r]):
-        base = _related(base, view, name, frames, window, dims, measures, [f for f in filters if of_filter[id(f)] == name])
+        base = _related(base, view, name, frames, window, dims, measures, [f for f in filters if of_filter[id(f)] == name], bool(query.get("fromTimestamp")))
     for n, d in dims.items():
         if d.explode == "map":
             base = base.select("*", F.explode(_value(d)).alias(f"dim_{n}", f"_{n}"))
         elif d.explode:
             base = base.withColumn(f"dim_{n}", F.explode(_value(d)))
         elif not d.relation:
-            base = base.withColumn(f"dim_{n}", _value(d))
+            base = base.withColumn(f"dim_{n}", _shown(d))
     keys = [F.col(f"dim_{n}").alias(n) for n in dims]
     if query.get("timeDimension"):
         size = query["timeDimension"].get("granularity", "auto")
@@ -151,17 +170,17 @@ def compile_query(query: Mapping, frames: Mapping[str, DataFrame], exact: bool =
     return out.limit(query["rowLimit"]) if query.get("rowLimit") else out
 
 
-def _related(base: DataFrame, view: View, name: str, frames: Mapping[str, DataFrame], window, dims: Mapping[str, Dimension], measures: Mapping[str, Measure], filters: list) -> DataFrame:
-    """The base joined with one relation, aggregated to the base's key. The time range holds for the related rows too, which makes the
-    join an inner one."""
+def _related(base: DataFrame, view: View, name: str, frames: Mapping[str, DataFrame], window, dims: Mapping[str, Dimension], measures: Mapping[str, Measure], filters: list, windowed: bool) -> DataFrame:
+    """The base joined with one relation, aggregated to the base's key. A time range holds for the related rows too, which makes the
+    join an inner one, as does a filter on them; without either, rows that have no related ones stay."""
     relation = view.relations[name]
     rows = frames[relation.frame].where(window(relation.time))
     if relation.roots_only:
         rows = rows.where(F.col("parent_span_id") == "")
     rows = rows.where(algebra.all_of(filters, {n: _value(d) for n, d in view.dimensions.items() if d.relation == name}))
     keys = [F.col(there).alias(f"_key_{i}") for i, (_, there) in enumerate(relation.keys)]
-    found = [F.min(_value(d)).alias(f"dim_{n}") for n, d in dims.items() if d.relation == name]
+    found = [F.min(_shown(d)).alias(f"dim_{n}") for n, d in dims.items() if d.relation == name]
     found += [m.expr().alias(f"rel_{n}") for n, m in measures.items() if m.relation == name]
     related = rows.groupBy(*keys).agg(*(found or [F.count(F.lit(1)).alias(f"_n_{name}")]))
     on = [base[here] == related[f"_key_{i}"] for i, (here, _) in enumerate(relation.keys)]
-    return base.join(related, on, "inner").drop(*(f"_key_{i}" for i in range(len(keys))), f"_n_{name}")
+    return base.join(related, on, "inner" if windowed or filters else "left").drop(*(f"_key_{i}" for i in range(len(keys))), f"_n_{name}")

@@ -17,12 +17,14 @@ from spanlight.functions.scalars import array_size, blank_to_null, key_sum, mill
 
 @dataclass(frozen=True)
 class Dimension:
-    """A column to group by. ``explode``: the array or map that makes rows of it; ``relation``: where it comes from."""
+    """A column to group by. ``explode``: the array or map that makes rows of it; ``relation``: where it comes from; ``empty_is_null``: a blank
+    counts as missing when it is grouped by, while filters see what is stored."""
 
     expr: Column | str
     relation: str | None = None
     explode: str | None = None
     array: bool = False
+    empty_is_null: bool = False
 
 
 @dataclass(frozen=True)
@@ -56,8 +58,12 @@ class View:
     segment: object = None
 
 
+#: Dimensions whose blanks are shown as missing.
+EMPTY_IS_NULL = ("userId", "sessionId", "release", "version", "environment", "traceRelease", "providedModelName")
+
+
 def _plain(**names: str) -> dict[str, Dimension]:
-    return {name: Dimension(column) for name, column in names.items()}
+    return {name: Dimension(column, empty_is_null=name in EMPTY_IS_NULL) for name, column in names.items()}
 
 
 def build_views() -> dict[str, View]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +19,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(p)
 
 
-def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Write df over the partitions it has rows for, and leave the others. It is staged first, since it may read what it replaces."""
+def replace_partitions(df: DataFrame, path: str, partition: str, touched: Iterable = ()) -> None:
+    """Write df over the partitions it has rows for, and leave the others. It is staged first, in a folder of its own, since it may read what it
+    replaces. Rows are dealt out by partition, and adaptive execution splits a large one over tasks. Partitions among ``touched`` that
+    have no row any more are dropped."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}__staged"
-    df.write.mode("overwrite").parquet(staged)
-    (spark.read.parquet(staged).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
-    p, files = _path(spark, staged)
-    files.delete(p, True)
+    staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    try:
+        rows = spark.read.schema(df.schema).parquet(staged)
+        rows.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        left = {r[0] for r in rows.select(partition).distinct().collect()} if touched else set()
+        for gone in set(touched) - left:
+            p, files = _path(spark, f"{path.rstrip('/')}/{partition}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone}")
+            files.delete(p, True)
+    finally:
+        p, files = _path(spark, staged)
+        files.delete(p, True)
+
+
+def delete_where(spark: SparkSession, path: str, condition: Column, partition: str) -> int:
+    """Delete rows of a partitioned table; only partitions that hold such a row are read and rewritten. The number of rows that went."""
+    if not exists(spark, path):
+        return 0
+    rows = spark.read.parquet(path)
+    found = {r[0]: r["n"] for r in rows.where(condition).groupBy(partition).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    if found:
+        days = [d for d in found if d is not None]
+        within = F.col(partition).isin(days) | (F.col(partition).isNull() if None in found else F.lit(False))
+        replace_partitions(rows.where(within & ~F.coalesce(condition, F.lit(False))), path, partition, found)
+    return sum(found.values())
 
 
 def latest(df: DataFrame, keys: Iterable[str], version: str) -> DataFrame:

@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanlight.session import cut, sized
+
 #: Columns that are never overwritten once set.
 IMMUTABLE = ("id", "project_id", "trace_id", "start_time", "created_at", "environment")
 EVENT_SCHEMA = """id string, type string, timestamp timestamp, body struct<id string, traceId string, parentObservationId string, projectId string, name string, userId string, sessionId string,
  environment string, level string, model string, startTime timestamp, endTime timestamp, completionStartTime timestamp, input string, output string, tags array<string>, metadata map<string, string>,
- usage map<string, bigint>, cost map<string, decimal(38, 12)>, version string, release string>"""
+ usage map<string, bigint>, cost map<string, decimal(38, 12)>, version string, release string,
+ observationId string, value string, stringValue string, dataType string, comment string, source string, configId string, queueId string, datasetRunId string>"""
 #: Event types by the kind of record they make.
-KINDS = {"trace-create": "trace", "span-create": "span", "span-update": "span", "generation-create": "span", "generation-update": "span", "event-create": "span", "score-create": "score"}
+KINDS = {
+    "trace-create": "trace", "span-create": "span", "span-update": "span", "generation-create": "span", "generation-update": "span", "event-create": "span", "score-create": "score",
+    "agent-create": "span", "tool-create": "span", "chain-create": "span", "retriever-create": "span", "evaluator-create": "span", "embedding-create": "span", "guardrail-create": "span",
+    "observation-create": "span", "observation-update": "span", "sdk-log": "log", "dataset-run-item-create": "run item",
+}
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -34,6 +41,41 @@ def parse_events(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
     return rows.where("reason is null").select("e.*").drop("_corrupt").withColumn("kind", kind), rows.where("reason is not null").select("line", "reason")
 
 
+def scores_of(events: DataFrame) -> DataFrame:
+    """The scores of score events: NUMERIC and BOOLEAN ones have a number, CATEGORICAL and BOOLEAN ones a string. A type that is not said follows
+    from the value: a number makes a numeric score, anything else a categorical one. A value that its type does not allow gives no score."""
+    b, number = F.col("body"), F.expr("try_cast(body.value AS double)")
+    kind = F.coalesce(F.upper(b["dataType"]), F.when(number.isNotNull(), "NUMERIC").otherwise("CATEGORICAL"))
+    truth = F.when(number.isin(0.0, 1.0), number).when(F.lower(b["value"]).isin("true", "false"), (F.lower(b["value"]) == "true").cast("double"))
+    rows = events.where("kind = 'score'").select(
+        F.coalesce(b["id"], F.col("id")).alias("id"), b["projectId"].alias("project_id"), b["traceId"].alias("trace_id"), b["observationId"].alias("observation_id"), b["sessionId"].alias("session_id"), b["datasetRunId"].alias("run_id"),
+        b["name"].alias("name"), F.coalesce(F.upper(b["source"]), F.lit("API")).alias("source"), kind.alias("data_type"),
+        F.when(kind == "NUMERIC", number).when(kind == "BOOLEAN", truth).alias("value"),
+        F.when(kind == "CATEGORICAL", F.coalesce(b["stringValue"], b["value"])).when(kind == "BOOLEAN", F.when(truth == 1, "True").when(truth == 0, "False")).alias("string_value"),
+        b["comment"].alias("comment"), b["configId"].alias("config_id"), b["queueId"].alias("queue_id"), F.coalesce(b["environment"], F.lit("default")).alias("environment"), F.col("timestamp"))
+    return rows.where("value is not null or (data_type = 'CATEGORICAL' and string_value is not null)")
+
+
+def shard_of(project: str | Column, entity: str | Column, shards: int) -> Column:
+    """The queue shard of an entity's events: those of one entity go to one shard, whatever else arrives."""
+    return F.pmod(F.xxhash64(F.concat_ws("-", project, entity)), F.lit(shards)).cast("int")
+
+
+def with_defaults(spans: DataFrame) -> DataFrame:
+    """Spans with the default level, and with a trace: one without a trace id is its own trace's root."""
+    level = F.coalesce(F.when(F.col("level") != "", F.col("level")), F.lit("DEFAULT"))
+    return spans.withColumns({"level": level, "trace_id": F.coalesce(F.when(F.col("trace_id") != "", F.col("trace_id")), F.col("span_id"))})
+
+
+def scheduled(things: DataFrame, condition: Column, rate: float, delay_s: int, key: str = "span_id", time: str = "start_time") -> DataFrame:
+    """Things that an evaluator takes on: those that its filter lets through and its sampling chooses (by a hash of the key, so a second run
+    chooses alike), with the time at which they are due."""
+    from spanlight.functions.scalars import sampled
+
+    rows = things.where(F.coalesce(condition, F.lit(False)) & sampled(F.col(key).cast("string"), rate))
+    return rows.withColumn("due_at", F.timestamp_add("SECOND", F.lit(delay_s), F.col(time)))
+
+
 def is_create(kind: str | Column) -> Column:
     return (F.col(kind) if isinstance(kind, str) else kind).endswith("-create")
 
@@ -86,11 +128,23 @@ def token_count(text: str | Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda x: x != "")).cast("bigint")
 
 
-def match_models(spans: DataFrame, models: DataFrame) -> DataFrame:
+#: Models whose patterns are sent to every task at once.
+MODELS_A_BLOCK = 10_000
+
+
+def match_models(spans: DataFrame, models: DataFrame, block: int = MODELS_A_BLOCK) -> DataFrame:
     """Each span's model: a pattern that its model name matches; the project's own models first, then the newest. Model names are few
-    beside spans, so the patterns are tried on the distinct (project, name) pairs only."""
+    beside spans, so the patterns are tried on the distinct (project, name) pairs only; ``block`` patterns, which are counted, at a time."""
     names = spans.select("project_id", "provided_model_name").where("provided_model_name is not null").distinct()
-    tried = names.crossJoin(F.broadcast(models.withColumnRenamed("project_id", "model_project"))).where("(model_project is null or model_project = project_id) and provided_model_name rlike match_pattern")
+    listed = models.withColumnRenamed("project_id", "model_project")
+    blocks = max(1, -(-models.count() // block))
+    if blocks > 1:
+        names, listed = cut(names), cut(listed.withColumn("_block", F.pmod(F.xxhash64("model_id"), F.lit(blocks))))
+    fits = "(model_project is null or model_project = project_id) and provided_model_name rlike match_pattern"
+    tried = None
+    for i in range(blocks):
+        part = names.join(F.broadcast(listed.where(f"_block = {i}").drop("_block") if blocks > 1 else listed), F.expr(fits))
+        tried = part if tried is None else tried.unionByName(part)
     w = Window.partitionBy("project_id", "provided_model_name").orderBy(F.col("model_project").asc_nulls_last(), F.col("start_date").desc_nulls_last(), "model_id")
     found = tried.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("project_id", "provided_model_name", "model_id")
     return spans.join(found, ["project_id", "provided_model_name"], "left")
@@ -98,9 +152,9 @@ def match_models(spans: DataFrame, models: DataFrame) -> DataFrame:
 
 def match_tiers(spans: DataFrame, tiers: DataFrame) -> DataFrame:
     """Each span's pricing tier: the first by priority all of whose conditions hold (the sum of usage keys that match a pattern, over or
-    under a threshold); the default tier otherwise. Conditions per tier are few, so tiers are broadcast."""
+    under a threshold); the default tier otherwise. Tiers are broadcast while they are few (they are counted)."""
     listed = tiers.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("priority", "tier_id", "is_default", "conditions"))).alias("tiers"))
-    rows = spans.join(F.broadcast(listed), "model_id", "left")
+    rows = spans.join(sized(listed), "model_id", "left")
     hold = """filter(tiers, t -> NOT t.is_default AND forall(t.conditions, c ->
         CASE c.op WHEN '>' THEN aggregate(map_values(map_filter(usage_details, (k, v) -> k rlike c.pattern)), 0L, (a, v) -> a + v) > c.value
                   WHEN '>=' THEN aggregate(map_values(map_filter(usage_details, (k, v) -> k rlike c.pattern)), 0L, (a, v) -> a + v) >= c.value
@@ -112,7 +166,7 @@ def match_tiers(spans: DataFrame, tiers: DataFrame) -> DataFrame:
 def priced(spans: DataFrame, prices: DataFrame) -> DataFrame:
     """Costs of spans: given ones win (with a total over input and output if there is none), else price times units by key, and their sum."""
     table = prices.groupBy("tier_id").agg(F.map_from_entries(F.collect_list(F.struct("usage_type", F.col("price").cast("decimal(18, 12)")))).alias("_prices"))
-    rows = spans.join(F.broadcast(table), "tier_id", "left")
+    rows = spans.join(sized(table), "tier_id", "left")
     zero = "cast(0 AS decimal(38, 12))"
     computed = F.expr("transform_values(map_filter(usage_details, (k, v) -> _prices[k] IS NOT NULL AND k <> 'total'), (k, v) -> cast(v * _prices[k] AS decimal(38, 12)))")
     rows = rows.withColumn("_cost", F.when(F.coalesce(F.size("cost_details"), F.lit(0)) > 0, F.expr("transform_values(cost_details, (k, v) -> cast(v AS decimal(38, 12)))")).when(F.col("_prices").isNotNull(), computed))
@@ -147,16 +201,26 @@ def observation_type(name: str = "name", model: str = "model", attributes: str |
 
 def upsert(spark, rows: DataFrame, path: str, keys: Iterable[str], partition: str, merge: Callable[[DataFrame], DataFrame]) -> None:
     """Merge rows into a table partitioned by a day column: only the touched partitions are read and rewritten. The start time is immutable,
-    so a late event finds its record in the partition where it was first written."""
+    so a late event finds its record in the partition where it was first written. Rows without a day take that of their key, from the
+    batch or from what is stored (its key and day columns are looked up); where neither knows one, they wait in the partition without
+    a day, and move when a day comes."""
     from spanlight.sources.sinks import exists, replace_partitions
 
-    days = [r[0] for r in rows.select(partition).distinct().collect()]  # the days of a batch, not its rows
-    if not days:
+    keys = [k for k in keys if k != partition]
+    rows, day = cut(rows), F.col(partition)
+    if rows.isEmpty():
         return
     if exists(spark, path):
-        old = spark.read.parquet(path).where(F.col(partition).isin(days))
+        table = spark.read.parquet(path)
+        table = table.withColumn(partition, day.cast(rows.schema[partition].dataType))
+        homeless = rows.where(day.isNull()).select(*keys).distinct()
+        homes = table.where(day.isNotNull()).join(homeless, keys, "left_semi").select(partition)
+        days = [r[0] for r in rows.where(day.isNotNull()).select(partition).unionByName(homes).distinct().collect()]  # the days of a batch, not its rows
+        old = table.where(day.isin(days) | day.isNull() if days else day.isNull())
         rows = old.unionByName(rows, allowMissingColumns=True)
-    replace_partitions(merge(rows), path, partition)
+    found = rows.where(day.isNotNull()).join(rows.where(day.isNull()).select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min(partition).alias("_day"))
+    rows = rows.join(found, keys, "left").withColumn(partition, F.coalesce(day, "_day")).drop("_day")
+    replace_partitions(merge(rows), path, partition, [None])
 
 
 def stream(events: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], keys: Iterable[str], partition: str, merge: Callable[[DataFrame], DataFrame], once: bool = True) -> StreamingQuery:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlight.functions import scalars
-from spanlight.operators import datasets, filters, histogram, search, tables, timeseries, tree
+from spanlight.operators import datasets, filters, histogram, public_api, search, tables, timeseries, tree
 from spanlight.operators import score_analytics as sa
 from spanlight.plans import metrics
 
@@ -162,3 +162,24 @@ def test_query_errors(spark):
     with pytest.raises(metrics.QueryError):
         metrics.guard_cardinality(base | {"dimensions": [{"field": "userId"}]})
     metrics.guard_cardinality(base | {"dimensions": [{"field": "userId"}], "rowLimit": 10, "orderBy": [{"field": "sum_count", "direction": "desc"}]})
+
+
+def test_guard_in_force_and_raw_filters(spark):
+    spec = {"view": "traces", "dimensions": [{"field": "userId"}], "metrics": [{"measure": "count", "aggregation": "sum"}]}
+    with pytest.raises(metrics.QueryError):
+        metrics.compile_query(spec, {})
+    df = spark.range(3)
+    with pytest.raises(filters.FilterError):
+        public_api.raw(df, "id > 1")
+    with pytest.raises(filters.FilterError):
+        public_api.raw(df, "id > 1; drop table x", trusted=True)
+    assert public_api.raw(df, "id > 1", trusted=True).count() == 1 and public_api.raw(df, None).count() == 3
+    with pytest.raises(filters.FilterError):
+        public_api.field_groups(df, ["nothing"])
+
+
+def test_widget_order():
+    first = {"aggregation": "sum", "measure": "count"}
+    assert metrics.widget_order("PIVOT_TABLE", {"column": "c", "order": "ASC"}, True, first) == [{"field": "c", "direction": "asc"}]
+    assert metrics.widget_order("BAR", {"column": "c", "order": "ASC"}, True, first) == [{"field": "sum_count", "direction": "desc"}]
+    assert metrics.widget_order("BAR", None, False, first) is None

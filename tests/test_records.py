@@ -89,3 +89,45 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     assert sinks.window_of(df, "v", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 12), "daily").count() == 0
     assert df.where(sinks.one_of("id", [])).count() == 0 and spark.range(1).select(sinks.literal(float("nan"))).first()[0] is None
+
+
+def test_otel_values(spark):
+    value = {"arrayValue": {"values": [{"stringValue": 'a"b'}, {"doubleValue": 1.5}, {"arrayValue": {"values": [{"boolValue": True}]}}, {"kvlistValue": {"values": [{"key": "k", "value": {"intValue": "3"}}]}}]}}
+    span = {"traceId": "t", "spanId": "s", "name": "n", "startTimeUnixNano": "1700000000000000000", "attributes": [{"key": "x", "value": value}, {"key": "any.observation.type", "value": {"stringValue": "agent"}}, {"key": "both", "value": {"stringValue": "span"}}],
+            "events": [{"name": "e", "timeUnixNano": "1700000000000000000", "attributes": [{"key": "a", "value": {"intValue": "1"}}]}], "links": [{"traceId": "u", "spanId": "v"}]}
+    doc = {"resourceSpans": [{"resource": {"attributes": [{"key": "both", "value": {"stringValue": "resource"}}]}, "scopeSpans": [{"scope": {"name": "lib", "version": "2", "attributes": [{"key": "sc", "value": {"boolValue": False}}]}, "spans": [span]}]}]}
+    r = otel.read_spans(spark.createDataFrame([(json.dumps(doc),)], "value string")).first()
+    assert json.loads(r["metadata"]["x"]) == ['a"b', 1.5, [True], {"k": 3}] and r["metadata"]["sc"] == "false" and r["metadata"]["both"] == "span"
+    assert r["type"] == "AGENT" and r["events"][0]["attributes"] == {"a": "1"} and r["links"][0]["trace_id"] == "u" and r["scope_version"] == "2" and r["end_time"] is None
+
+
+def test_upsert_without_a_day(spark, tmp_path):
+    """A row without a day finds its record by key, or waits, and no other record is lost."""
+    path, merge = str(tmp_path / "t"), lambda df: sinks.latest(df, ["id"], "v")
+    put = lambda *rows: ingest.upsert(spark, spark.createDataFrame(rows, "id string, day string, v int, n string"), path, ["id"], "day", merge)
+    stored = lambda: sorted((r["id"], r["day"], r["v"], r["n"]) for r in spark.read.schema("id string, day string, v int, n string").parquet(path).collect())
+    day = "2024-01-01"
+    put(("a", day, 1, "x"), ("b", None, 1, "y"))
+    put(("a", None, 2, "z"))
+    assert sorted(stored(), key=str) == [("a", day, 2, "z"), ("b", None, 1, "y")]
+    put(("c", None, 1, "c"), ("c", "2024-01-03", 2, "cc"))
+    put(("b", "2024-01-02", 3, "late"))
+    assert stored() == [("a", day, 2, "z"), ("b", "2024-01-02", 3, "late"), ("c", "2024-01-03", 2, "cc")]
+    assert sinks.delete_where(spark, path, F.col("n") == "late", "day") == 1
+    assert [r[0] for r in stored()] == ["a", "c"] and sinks.delete_where(spark, path, F.col("n") == "none", "day") == 0
+
+
+def test_score_events(spark):
+    make = lambda i, **body: json.dumps({"id": str(i), "type": "score-create", "timestamp": "2024-01-01T00:00:00Z", "body": {"id": f"s{i}", "traceId": "t", "name": "n"} | body})
+    lines = [make(1, value=0.5, comment="c"), make(2, value="good"), make(3, value=1, dataType="BOOLEAN"), make(4, value="x", dataType="NUMERIC"), make(5, value=True, dataType="BOOLEAN"), make(6, value=7, dataType="CATEGORICAL"), make(7)]
+    out = {r["id"]: (r["data_type"], r["value"], r["string_value"], r["comment"]) for r in ingest.scores_of(ingest.parse_events(spark.createDataFrame([(x,) for x in lines], "value string"))[0]).collect()}
+    assert out == {"s1": ("NUMERIC", 0.5, None, "c"), "s2": ("CATEGORICAL", None, "good", None), "s3": ("BOOLEAN", 1.0, "True", None), "s5": ("BOOLEAN", 1.0, "True", None), "s6": ("CATEGORICAL", None, "7", None)}
+
+
+def test_shards_and_models_in_blocks(spark):
+    df = spark.range(1000).selectExpr("'p' AS project", "cast(id % 50 AS string) AS entity").withColumn("shard", ingest.shard_of("project", "entity", 8))
+    assert df.groupBy("entity").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0 and df.select("shard").distinct().count() > 4
+    spans = spark.createDataFrame([("p", f"m{i}") for i in range(20)], "project_id string, provided_model_name string")
+    models = spark.createDataFrame([(f"id{i}", None, f"^m{i}$", dt.date(2024, 1, 1)) for i in range(20)] + [("own", "p", "^m7$", dt.date(2020, 1, 1))], "model_id string, project_id string, match_pattern string, start_date date")
+    one, many = ({(r["provided_model_name"], r["model_id"]) for r in ingest.match_models(spans, models, block).collect()} for block in (1000, 5))
+    assert one == many and ("m7", "own") in one and ("m3", "id3") in one
