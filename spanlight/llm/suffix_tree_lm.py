@@ -18,6 +18,8 @@ a distributed table. Scoring walks each text: words with a share of ``WORD_SHARE
 few whatever the corpus (1 / share at most, of each length), and are scored on the spot from a broadcast. The others are
 joined by shuffle with the table, and summed by row.
 
+A context has up to ``DEPTH`` words; the depth, ``LEAST``, ``PRIOR`` and the gains are parameters of the model, not of the corpus's size.
+
 Defined results: null and empty texts are the end alone; repeated rows are scored each; without training rows N and V are 0
 and scores are those of the smoothing; null ids are a fold of their own and train; other columns are ignored.
 """
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HELD, U64, Tally, blocks, fold, hashed_words, mix, scratch, stored, table, text_of
+from .common import HELD, U64, Tally, blocks, drop_path, fold, hashed_words, mix, scratch, stored, table, text_of
 
 WORD_SHARE, PAIR_SHARE = 2.0**-21, 2.0**-20
 DEPTH, LEAST, PRIOR, GAIN, GAIN_A_TOKEN = 3, 4, 1.0, 8.0, 0.005
@@ -135,7 +137,8 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class PairTally:
-    """Counts of (context, suffix), held up to a bound and passed on when it is reached; see Tally."""
+    """Counts of (context, suffix). Those that a block has more than once are held, up to a bound, and passed on when it is reached; see Tally.
+    The others are mostly rare, and go on as they are, so a frequent sequence comes about once a task and a rare one costs no merging."""
 
     schema = pa.schema([("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
 
@@ -143,9 +146,15 @@ class PairTally:
         self.parts, self.size = [], 0
 
     def add(self, keys: np.ndarray, contexts: np.ndarray, suffixes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((keys, contexts[first], suffixes[first], n))
-        self.size += len(keys)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, first, n = keys[starts], order[starts], np.diff(np.append(starts, len(keys)))
+        once = n == 1
+        yield from self._batches(contexts[first[once]], suffixes[first[once]], n[once])
+        held = ~once
+        self.parts.append((keys[held], contexts[first[held]], suffixes[first[held]], n[held]))
+        self.size += int(held.sum())
         if self.size > 2 * HELD:
             self._merge()
             if self.size > HELD:
@@ -161,11 +170,14 @@ class PairTally:
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
         for _, contexts, suffixes, n in self.parts:
-            for i in range(0, len(n), 100_000):
-                j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(contexts[j].view(np.int64)), pa.array(suffixes[j].view(np.int64)), pa.array(n[j])], schema=self.schema)
+            yield from self._batches(contexts, suffixes, n)
         self.parts, self.size = [], 0
 
+    def _batches(self, contexts: np.ndarray, suffixes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(n), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(contexts[j].view(np.int64)), pa.array(suffixes[j].view(np.int64)), pa.array(n[j])], schema=self.schema)
+
 
 def kept_sequences(docs: DataFrame, length: int, parts: np.ndarray) -> DataFrame:
     """(key, context, suffix, n) of the sequences that stand LEAST times; ``parts`` is the bitmap of those one shorter."""
@@ -188,8 +200,9 @@ def kept_sequences(docs: DataFrame, length: int, parts: np.ndarray) -> DataFrame
             context, suffix = (part.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(join_of(context, suffix, length).view(np.int64)), *part.columns], names=["key", *part.schema.names])
 
-    found = docs.select("text").mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return found.mapInArrow(keyed, "key long, context long, suffix long, n long")
+    # tallies are combined already, so counts are dealt out as they are and summed once
+    found = docs.select("text").mapInArrow(run, "context long, suffix long, n long").repartition("context", "suffix")
+    return found.groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).mapInArrow(keyed, "key long, context long, suffix long, n long")
 
 
 def release(spark: SparkSession) -> None:
@@ -201,16 +214,18 @@ def release(spark: SparkSession) -> None:
 
 
 def tested(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
-    """The sequences with p, their followers' probabilities after the longest retained suffix, and of their contexts: how often (of), retained, back.
-    ``shorter``: (key, n, p) of the sequences one token shorter."""
-    rows = pairs.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")).hint("merge"), "context")
-    rows = rows.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")).hint("merge"), "suffix")
+    """The sequences with p, their followers' probabilities after the longest retained suffix, and of their contexts: how often (of), retained, back, and
+    whether this is the row that stands for its context. ``shorter``: (key, n, p) of the sequences one token shorter. The join by context comes last, as
+    the windows then need no other shuffle."""
+    rows = pairs.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")).hint("merge"), "suffix").drop("suffix")
+    rows = rows.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")).hint("merge"), "context")
     followers = Window.partitionBy("context")
     rows = rows.withColumn("rest", F.col("of") - F.sum("n").over(followers)).withColumn("back", (F.col("rest") + PRIOR) / (F.col("of") + PRIOR))
     rows = rows.withColumn("mixed", F.col("n") / (F.col("of") + PRIOR) + F.col("back") * F.col("parent"))
     rows = rows.withColumn("gain", F.sum(F.col("n") * F.log(F.col("mixed") / F.col("parent"))).over(followers) + F.col("rest") * F.log("back"))
+    rows = rows.withColumn("stands", F.col("key") == F.min("key").over(followers))
     rows = rows.withColumn("retained", (F.col("gain") >= GAIN) & (F.col("gain") >= GAIN_A_TOKEN * F.col("of")))
-    return rows.select("key", "context", "n", "of", "retained", "back", F.when(F.col("retained"), F.col("mixed")).otherwise(F.col("parent")).alias("p"), "parent")
+    return rows.select("key", "context", "n", "of", "retained", "back", F.when(F.col("retained"), F.col("mixed")).otherwise(F.col("parent")).alias("p"), "parent", "stands")
 
 
 class Tree:
@@ -278,11 +293,13 @@ def fit(docs: DataFrame, folder: str, depth: int = DEPTH) -> tuple[Tree, DataFra
     for length in range(2, depth + 2):
         if shorter.isEmpty():
             break
-        level = stored(tested(kept_sequences(docs, length, bitmap(shorter)), shorter), folder, f"level-{length}")
+        pairs = stored(kept_sequences(docs, length, bitmap(shorter)), folder, f"pairs-{length}")
         release(spark)
+        level = stored(tested(pairs, shorter), folder, f"level-{length}")
+        drop_path(spark, f"{folder}/pairs-{length}")
         tree.depth = length - 1
         gain = F.log10("p") - F.log10("parent") - F.log10("back")
-        contexts = level.select("context", "of", "retained", "back").distinct()
+        contexts = level.where("stands").select("context", "of", "retained", "back")
         values.append(level.where("retained").select("key", F.lit(length).alias("length"), "n", gain.alias("gain"), F.lit(0.0).alias("back")))
         values.append(contexts.where("retained").select(F.col("context").alias("key"), F.lit(length - 1).alias("length"), F.col("of").alias("n"), F.lit(0.0).alias("gain"), F.log10("back").alias("back")))
         if length == 2:
@@ -291,29 +308,28 @@ def fit(docs: DataFrame, folder: str, depth: int = DEPTH) -> tuple[Tree, DataFra
             tree.retained.append(nodes["retained"].to_numpy())
             tree.back_off.append(nodes["back"].to_numpy())
         shorter = level.select("key", "n", "p")
-    words = counts.select("key", "n", F.lit(0.0).alias("value"))
-    if not values:
-        return tree, words
-    found = values[0]
-    for more in values[1:]:
-        found = found.unionByName(more)
-    found = stored(found.groupBy("key", "length", "n").agg(F.sum("gain").alias("gain"), F.sum("back").alias("back")), folder, "values")
+    found = counts.select("key", F.col("n").alias("word_n"), F.lit(1).alias("length"), "n", F.lit(0.0).alias("gain"), F.lit(0.0).alias("back"))
+    for more in values:
+        found = found.unionByName(more.withColumn("word_n", F.lit(None).cast("long")))
+    found = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("word_n", "length", "n")), *(F.sum(c).alias(c) for c in ("gain", "back")))
+    found = stored(found, folder, "table")
+    for name in ("counts", *(f"level-{length}" for length in range(2, depth + 2))):
+        drop_path(spark, f"{folder}/{name}")
+    release(spark)
     quick = F.col("n") >= F.when(F.col("length") == 1, least[1]).otherwise(least[2])
-    common = found.where(quick).select("key", "gain", "back").toArrow()
+    common = found.where(quick & ((F.col("gain") != 0) | (F.col("back") != 0))).select("key", "gain", "back").toArrow()
     tree.put(common["key"].to_numpy(), common["gain"].to_numpy(), common["back"].to_numpy())
-    rest = found.where(~quick)
-    tree.tail = bitmap(rest.where("length > 1"))
-    looked_up = words.unionByName(rest.select("key", F.lit(None).cast("long").alias("n"), (F.col("gain") + F.col("back")).alias("value")))
-    looked_up = stored(looked_up.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), folder, "table")
-    release(spark)
-    return tree, looked_up
+    tree.tail = bitmap(found.where(~quick & (F.col("length") > 1)))
+    looked_up = found.where(~quick | F.col("word_n").isNotNull())
+    return tree, looked_up.select("key", F.col("word_n").alias("n"), F.when(quick, 0.0).otherwise(F.col("gain") + F.col("back")).alias("value"))
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of (doc_id, text) rows."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    # a row of its own for each text, and one for each of its words without a number or sequences that are not broadcast: row, key, how often
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("word", pa.bool_()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("tree", pa.float64())])
+    # a row of its own for each text, and one for each of its words without a number (times is positive) or sequences that are not broadcast (negative)
+    own_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("times", pa.int32()), ("own", own_type)])
 
     def run(batches):
         from pyspark import TaskContext
@@ -324,33 +340,31 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             ids, n = tree.find(hashes), part.num_rows
             base, full, rest = tree.walk(hashes, ids, places)
             own = np.arange(row, row + n)
-            numbered = np.bincount(rows[ids >= 0], minlength=n)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(own), pa.array(mix(own.astype(U64)).view(np.int64)), pa.nulls(n, pa.bool_()), pa.array(numbered), part.column(0), pa.array(np.bincount(rows, minlength=n)),
-                pa.array(np.bincount(rows, base, n)), pa.array(np.bincount(rows, full, n))], schema=schema)
+            texts = [part.column(0), *(pa.array(x) for x in (np.bincount(rows, minlength=n), np.bincount(rows[ids >= 0], minlength=n), np.bincount(rows, base, n), np.bincount(rows, full, n)))]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mix(own.astype(U64)).view(np.int64)), pa.array(np.zeros(n, dtype=np.int32)), pa.StructArray.from_arrays(texts, fields=list(own_type))], schema=schema)
             rare = np.flatnonzero(ids < 0)
-            for word, (keys, at) in [(True, (hashes[rare], rare)), *((False, x) for x in rest)]:
-                order = np.lexsort((keys, rows[at]))
-                key, of = keys[order], rows[at][order]
-                if len(key):
-                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                    k = len(first)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(of[first] + row), pa.array(key[first].view(np.int64)), pa.array(np.full(k, word)), pa.array(np.diff(np.append(first, len(key)))),
-                        *(pa.nulls(k, t) for t in schema.types[4:])], schema=schema)
+            for sign, (keys, at) in [(1, (hashes[rare], rare)), *((-1, x) for x in rest)]:
+                if len(keys):
+                    of = rows[at]
+                    # sorted by a hash of both; what shares one by chance is told apart, and merely stands in two rows
+                    both = mix(keys + of.astype(U64) * ODD)
+                    order = np.argsort(both)
+                    key, of, both = keys[order], of[order], both[order]
+                    first = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]) | (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+                    times = sign * np.diff(np.append(first, len(key)))
+                    yield pa.RecordBatch.from_arrays([pa.array(of[first] + row), pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(first), own_type)], schema=schema)
             row += n
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, key long, word boolean, times long, doc_id long, n_tokens long, base double, tree double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, key long, times int, own struct<doc_id: long, n_tokens: long, known: long, base: double, tree: double>")
     # texts' own rows have a key that spreads them, and what they meet is not looked at
-    joined = rows.join(counts.hint("merge"), "key", "left")
-    rare = F.coalesce("word", F.lit(False))
-    count = F.coalesce(F.col("n"), F.lit(0))
+    joined = rows.join(counts.hint("shuffle_hash"), "key", "left")
+    count, rare, sequence = F.coalesce(F.col("n"), F.lit(0)), F.col("times") > 0, F.col("times") < 0
     log = F.when(rare, F.col("times") * F.log10((count + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))).otherwise(0.0)
-    value = F.when(F.col("word").isNotNull(), F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
-    known = F.when(F.col("word").isNull() | (rare & (count > 0)), F.col("times")).otherwise(0)
+    value = F.when(rare, F.col("times") * F.coalesce("value", F.lit(0.0))).when(sequence, -F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
+    known = F.when(rare & (count > 0), F.col("times")).otherwise(0) + F.coalesce("own.known", F.lit(0))
     return joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + log).alias("base_score"), F.sum(F.coalesce("tree", F.lit(0.0)) + log + value).alias("score")).drop("row")
+        F.max("own.doc_id").alias("doc_id"), F.max("own.n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"),
+        F.sum(F.coalesce("own.base", F.lit(0.0)) + log).alias("base_score"), F.sum(F.coalesce("own.tree", F.lit(0.0)) + log + value).alias("score")).drop("row")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
