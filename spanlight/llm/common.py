@@ -15,6 +15,8 @@ U64 = np.uint64
 
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 4 << 20
+#: Bytes of input for a task that its rows are dealt out to, and the most tasks that are made for an estimate.
+TASK_BYTES, MOST_TASKS = 256 << 20, 100_000
 #: Distinct keys a counting task holds before it passes them on.
 HELD = 1_000_000
 
@@ -26,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local temporary folder is set for the session."""
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is this machine, as in tests,
+    a local temporary folder is set for the session; on a cluster, executors could not read one another's part of it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spanlight-")
         spark.sparkContext.setCheckpointDir(root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, uuid.uuid4().hex)
@@ -46,6 +50,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """How many tasks to deal df out to: the session's shuffle partitions, or more where its input, by Catalyst's estimate, has over ``task_bytes`` for each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, size // task_bytes))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

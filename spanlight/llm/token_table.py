@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, table, text_of
+from .common import blocks, scratch, table, tasks_for, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -193,14 +193,13 @@ class ShardReader:
 
 
 class WordIds:
-    """Packed ids of blank-separated words. The tokenizer normalises and splits at blanks before it merges, so
-    a text's ids are its words' ids in a row."""
+    """Packed ids of blank-separated words. The tokenizer normalises and splits at blanks before it merges, and its special
+    tokens (the library finds their strings in a text) have no blanks, so a text's ids are its words' ids in a row."""
 
     def __init__(self, path: str, id_bytes: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.form = {2: "H", 4: "I"}[id_bytes]
         self.known: dict[str, bytes] = {}
 
@@ -288,7 +287,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             yield finish()
 
     rows = text_of(docs, id_col, text_col)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks_for(rows)
     return rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "part int, shard int, path string, n_docs long, n_ids long")
 
 
