@@ -32,19 +32,28 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, in a table bucketed and sorted by digest: (digest, keep_id)."""
+    """Digests seen so far, in a table bucketed and sorted by digest: (digest, keep_id).
 
-    def __init__(self, spark: SparkSession, name: str | None = None, folder: str | None = None, buckets: int | None = None):
+    The index is its folder: ``index`` has the bucketed files and ``layout`` the number of buckets. A session that opens a folder
+    with an index registers what is there under a name of its own, and never creates over it."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.folder = folder or scratch(spark)
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
+        self.name = f"digest_index_{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/layout/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            kept = spark.read.schema("buckets int").parquet(f"{self.folder}/layout").first()["buckets"]
+            if buckets and buckets != kept:
+                raise ValueError(f"the index has {kept} buckets")
+            self.buckets = kept
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(self.buckets).cast("int").alias("buckets")).write.parquet(f"{self.folder}/layout")
+        spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/index'")
 
     def _append(self, rows: DataFrame) -> None:
-        (rows.write.mode("append").format("parquet").option("path", f"{self.folder}/index")
-         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
