@@ -1,18 +1,23 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs (a word that follows itself counts alike whatever the word) and character n-grams of a text are hashed into buckets, each with a learned vector; a text is the mean
+A text's words, pairs of words in a row and character n-grams are hashed into buckets, each with a learned vector; a text is the mean
 of its vectors, put through a linear layer and a softmax. Vectors and layer are trained together by stochastic
 gradient descent in numpy, on a bounded sample of the labelled rows (``SAMPLE_ROWS``: those whose id hashes lowest);
 the sample's features, a bounded number a row, are made by the executors. For scoring, bucket vectors and layer fold into
 one weight a bucket, which is broadcast (``BUCKETS`` floats, whatever the input).
 
-Only the text is an input of a score. Whole texts are read. Defined results: null and empty texts have no features and
-score the learned prior; repeated rows score alike; with no labelled rows, every text scores 0.5; rows with a null
-label are not learned from.
+Only the text is an input of a score. Whole texts are read, in blocks; a text longer than a block is one. Defined results: null and
+empty texts have no features and score the learned prior; repeated rows score alike; with no labelled rows, every text scores 0.5; rows
+with a null label or id are not learned from; an id labelled more than once has its lowest label; a document with a null id is
+scored and is not held out; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +29,6 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4, 5)
 SAMPLE_ROWS, EPOCHS, RATE = 4000, 6, 0.5
 THRESHOLD = 0.3
 BLOCK = 1 << 20
-#: Features that stand for a word following itself.
-SAME, SAME_FEATURES = U64(0x5A5A5A5A5A5A5A5A), 4
 
 _bytes = Rolling(7)
 
@@ -37,11 +40,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows = np.repeat(np.arange(len(counts)), counts)
     words = mix(_bytes.spans(prefix, starts, ends) + U64(1))
     pairs = np.flatnonzero(rows[1:] == rows[:-1])
-    # a word that follows itself is one and the same feature whatever the word
-    pair = mix(words[pairs] * U64(0x9E3779B97F4A7C15) + words[pairs + 1])
-    again = words[pairs] == words[pairs + 1]
-    pair[again] = SAME
-    found = [(words, rows), (pair, rows[pairs])] + [(mix(np.full(int(again.sum()), SAME + U64(i))), rows[pairs][again]) for i in range(1, SAME_FEATURES)]
+    found = [(words, rows), (mix(words[pairs] * U64(0x9E3779B97F4A7C15) + words[pairs + 1]), rows[pairs])]
     # n-grams lie within a word and the one blank on either side of it
     n = len(data)
     blank = np.zeros(n + 1, dtype=np.int64)
@@ -60,17 +59,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def sampled(docs: DataFrame, labels: DataFrame, label_col: str, usable, per_class: int | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, label) of the labelled rows that are learned from: at most ``rows``, or ``per_class`` of each label, those
     whose id hashes lowest. The chosen ids are few by that bound, so they are broadcast and the texts never shuffled."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("labelled_id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & usable)
+    known = known.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     order = (F.xxhash64("labelled_id"), "labelled_id", "label")
     if per_class:
         chosen = known.where("label = 1").orderBy(*order).limit(per_class).unionByName(known.where("label = 0").orderBy(*order).limit(per_class))
     else:
         chosen = known.orderBy(*order).limit(rows)
-    return docs.join(F.broadcast(chosen.dropDuplicates(["labelled_id"])), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
 
 
 def collected(sample: DataFrame, make, block: int = BLOCK) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, features, their counts) of the sample's rows, in a fixed order."""
+    """(label, features, their counts) of the sample's rows, in a fixed order. They come as Arrow batches and are kept as two flat arrays, so that
+    the driver holds little besides; counts are sent in 16 bits where they fit."""
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
@@ -79,12 +80,28 @@ def collected(sample: DataFrame, make, block: int = BLOCK) -> list[tuple[int, np
             both, counts = np.unique(rows * np.int64(1 << 40) + ids, return_counts=True)
             cuts = np.searchsorted(both, np.arange(part.num_rows + 1) * np.int64(1 << 40))
             ids = (both & (1 << 40) - 1).astype("<i4")
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cut(ids), cut(counts.astype("<f4"))], schema=schema)
-
-    found = sample.mapInArrow(run, "doc_id long, label int, ids binary, counts binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"], r["ids"]))
-    return [(r["label"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in found]
+            fit = lambda x: x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes()
+            pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([ids[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([fit(counts[i:j]) for i, j in pairs], pa.binary())], schema=schema)
+
+    table = sample.mapInArrow(run, "doc_id long, label int, ids binary, counts binary").toArrow().combine_chunks()
+    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("ids", "ascending")])
+    labels, out = table.column("label").to_pylist(), []
+    for label, ids, counts in zip(labels, table.column("ids"), table.column("counts"), strict=True):
+        ids = np.frombuffer(ids.as_buffer(), "<i4").copy()
+        width = len(counts.as_buffer()) // max(1, len(ids))
+        out.append((label, ids, np.frombuffer(counts.as_buffer(), "<u4" if width == 4 else "<u2").copy()))
+    del table
+    released()
+    return out
+
+
+def released() -> None:
+    """Give memory that is free again back to the machine, as a driver lives on with what training has once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -104,7 +121,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS
             done += 1
             if not len(ids):
                 continue
-            weight = counts / counts.sum()
+            weight = (counts / counts.sum()).astype(np.float32)
             hidden = weight @ vectors[ids]
             z = layer @ hidden + bias
             p = np.exp(z - z.max())
@@ -150,7 +167,9 @@ def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "tex
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: int = 0, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Learn from labelled rows outside the held-out fold."""
-    return train(collected(sampled(text_of(docs), labels, label_col, fold(F.col("doc_id")) != held_out, rows=rows), features))
+    model = train(collected(sampled(text_of(docs), labels, label_col, fold(F.col("doc_id")) != held_out, rows=rows), features))
+    released()
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,4 +178,4 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

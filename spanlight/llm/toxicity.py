@@ -10,8 +10,10 @@ so that pairs of terms count beyond what each weighs alone. It is trained by Ada
 own share. Buckets in fewer than ``MIN_ROWS`` sampled rows keep no parameters, and small weights are shrunk to zero,
 so the many neutral words of a very long text add up to nothing. The parameters (``BUCKETS`` rows) are broadcast.
 
-Only the text is an input of a score. Whole texts are read. Defined results: null and empty texts score the
-learned prior; repeated rows score alike; with no labelled rows, every text scores 0.5; null labels are not learned from.
+Only the text is an input of a score. Whole texts are read, in blocks; a text longer than a block is one. Defined results: null and
+empty texts score the learned prior; repeated rows score alike; with no labelled rows, every text scores 0.5; rows with a null label or
+id are not learned from; an id labelled more than once has its lowest label; a document with a null id is scored and is not held
+out; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Rolling, blocks, fold, mix, row_of, table, text_of, word_spans
-from .quality import collected, sampled
+from .quality import collected, released, sampled
 
 BUCKETS, DIM, PREFIXES = 1 << 18, 8, (4, 5, 6)
 PER_CLASS, MIN_ROWS, EPOCHS, RATE, SHRINK = 2500, 8, 10, 0.2, 0.2
@@ -115,10 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     """Learn from labelled rows outside the held-out fold."""
     usable = fold(F.col("doc_id")) != held_out
     share = labels.where(usable & F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    return train(collected(sampled(text_of(docs), labels, label_col, usable, per_class=per_class), terms), 0.5 if share is None else share)
+    model = train(collected(sampled(text_of(docs), labels, label_col, usable, per_class=per_class), terms), 0.5 if share is None else share)
+    released()
+    return model
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(text_of(docs), *fit(docs, table(spark, sf_dir, "labels"))).select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
