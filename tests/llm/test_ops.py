@@ -43,6 +43,21 @@ def test_exact_dedup_remembers(spark, docs, rows):
     assert index.read().count() == index.read().select("digest").distinct().count() == len({h for *_, h in brute.exact(rows)})
 
 
+def test_exact_dedup_lasts(spark, tmp_path):
+    """A second session finds what the first one has put into the folder, and adds to it."""
+    folder, rows = f"file://{tmp_path}/index", "doc_id long, text string"
+    exact_dedup.DigestIndex(spark, folder, buckets=5).add(spark.createDataFrame([(1, "a"), (2, "b")], rows)).count()
+    other = spark.newSession()
+    index = exact_dedup.DigestIndex(other, folder)
+    assert index.buckets == 5
+    assert got(index.add(other.createDataFrame([(3, "a"), (4, "c  c")], rows)), "doc_id", "keep_id", "kept") == [(3, 1, False), (4, 4, True)]
+    again = exact_dedup.DigestIndex(spark, folder)
+    assert sorted(r["keep_id"] for r in again.read().collect()) == [1, 2, 4]
+    assert got(again.add(spark.createDataFrame([(5, "c c"), (6, "b"), (7, "d")], rows)), "doc_id", "keep_id") == [(5, 4), (6, 2), (7, 7)]
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, folder, buckets=6)
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_dedup(docs, rows, size):
     out = near_dedup.near_groups(docs, size=size)
@@ -135,10 +150,13 @@ def test_token_table(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(token_table.TOKENIZER))
-    t.encode_special_tokens = True
+    special = [(1000, "hello <|endoftext|> world"), (1001, "a<|startoftext|>b<|ENDOFTEXT|> <|endoftext|><|endoftext|>c's\n<|endoftext"), (1002, "<|endo\nftext|> <| endoftext |>")]
+    rows = rows + special
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
     folder = scratch(spark)
     shards = token_table.write(docs, folder, partitions=3).collect()
     out = {r["doc_id"]: r for r in token_table.read(spark, shards, with_ids=True).collect()}
+    assert 49407 in np.frombuffer(out[1000]["ids"], "<u4") and 49406 in np.frombuffer(out[1001]["ids"], "<u4")
     start = 0
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -300,3 +318,46 @@ def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert hashlib.sha256(b"").hexdigest() == brute.sha(b"")
+
+
+@pytest.mark.parametrize("size,percent", [(4, 80), (3, 85)])
+def test_near_dedup_alike_but_not_linked(spark, size, percent):
+    """A large group of near copies, of which many are linked with nothing, some with the base, and some only with one another."""
+    import random
+
+    rng = random.Random(size)
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"e{rng.randrange(60)}" if rng.random() < 0.7 else words[at - 1]
+        return words
+
+    kinds = [edited(base, n) for n in (2, 3, 5, 6, 7, 8, 8, 9, 10) for _ in range(18)] + [edited(x, 1) for x in [edited(base, 9) for _ in range(8)] for _ in range(4)]
+    kinds += [base[: rng.randrange(90, 150)] for _ in range(20)] + [base + [f"e{rng.randrange(60)}" for _ in range(rng.randrange(40))] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, *kinds])]
+    expected = sorted(brute.near(rows, size, percent))
+    assert len({c for *_, c in expected}) > 20
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=size, threshold=percent)
+    assert got(out, "doc_id", "n_shingles", "component_id") == expected
+
+
+def test_near_dedup_filter_loses_no_link():
+    """The prefix filter alone, without bands: whatever hub is taken, every link between different labels is found."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        hub = set(range(rng.randrange(5, 60)))
+        sets = [{x for x in hub if rng.random() < 0.85} | {rng.randrange(100, 115) for _ in range(rng.randrange(8))} for _ in range(12)]
+        for t in (60, 80, 90):
+            link = lambda x, y: 100 * len(x & y) >= t * len(x | y)  # noqa: E731, B023
+            cuts = [near_dedup.cuts(len(x), len(x ^ hub), len(hub), t) for x in sets]
+            order = [sorted(x - hub) + sorted(hub - x) for x in sets]
+            for i, x in enumerate(sets):
+                if not x or link(x, hub):
+                    continue
+                for j, y in enumerate(sets):
+                    if i != j and y and link(x, y):
+                        assert set(order[i][: cuts[i][0]]) & set(order[j][: cuts[j][1]])
