@@ -11,8 +11,8 @@ A bucket does not emit its pairs. Its hub (a class with most copies, the same on
 member. A bit sketch (one bit a coordinate) rules out pairs that are far below the threshold (6 standard deviations), the
 others are verified on their full sets, and what is linked gets its component's label. A bucket whose members have one label
 is done, as no further link could change anything. The others take as center the hub with most links that any of their members has
-met, and still list no pairs: x and y differ in just as many shingles as their differences from the center, X and Y, do, so they are
-linked only if X and Y overlap enough. Those differences are small where texts are alike, and what many texts share is not in them.
+met, or rather the set that most members around it agree on, and still list no pairs: x and y differ in just as many shingles as their
+differences from the center, X and Y, do, so they are linked only if X and Y overlap enough. Those differences are small where texts are alike, and what many texts share is not in them.
 An exact prefix filter finds the pairs whose differences can overlap that much (the places of the shared shingle bound the overlap
 as well), and these pairs are verified on their full sets. So no bucket is capped, no link is lost, and a large group of texts that
 are alike but not linked does not meet itself. Components are formed over all links.
@@ -148,54 +148,65 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def cuts(n: int, a: int, hub: int, threshold: int) -> tuple[int, int]:
-    """How many shingles from the front of a difference of ``a`` shingles (of a set of n from a hub's) a probe looks up, and how many can be found."""
-    front = a - max(1, a - (100 - threshold) * n // threshold) + 1
-    overlap = -(-((100 + threshold) * a + (100 - threshold) * (hub - n)) // (2 * (100 + threshold)))
-    return max(0, front), max(0, min(front, a - max(1, overlap) + 1))
-
-
 def differences(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """How each (hub, rep, c, hub_c) row's set differs from its hub's: n (the set's size), a (shingles that one of the two lacks), linked (to the hub),
-    probe (of another label than the hub, and not linked to it), and the first shingles of the difference in a fixed order, of which
-    the first ``cut`` can be found by a probe.
-
-    Sets x and y are linked if and only if the overlap of their differences is (a + b - share * (|x| + |y|)) / 2 at least, where share is
-    (100 - threshold) / (100 + threshold). A probe has a > share * (|x| + |hub|), and no linked sets are more unequal than the threshold.
-    That gives the least overlap with any partner, and so how many shingles from the front must hold a common one."""
+    """How each (hub, rep, c) row's set differs from its hub's: n (the set's size), more and less (the shingles that only it has, and that only the hub
+    has), and whether the two are linked."""
     hubs = texts.select(F.col("rep").alias("hub"), F.col("text").alias("thub"))
-    rows = pairs.join(texts.select("rep", F.col("text").alias("trep")).hint("merge"), "rep").join(hubs.hint("merge"), "hub").select("hub", "rep", "c", "hub_c", "thub", "trep")
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("linked", pa.bool_()), ("probe", pa.bool_()), ("cut", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    rows = pairs.join(texts.select("rep", F.col("text").alias("trep")).hint("merge"), "rep").join(hubs.hint("merge"), "hub").select("hub", "rep", "c", "thub", "trep")
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64()))])
 
     def run(batches):
         last, own = None, None
         for part, data, offsets in blocks(batches, "trep", 1 << 20):
             out = []
-            for i, (hub, rep, c, hub_c) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)):
+            for i, (hub, rep, c) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)):
                 if hub != last:
-                    text = np.frombuffer(part.column(4)[i].as_buffer(), dtype=np.uint8)
+                    text = np.frombuffer(part.column(3)[i].as_buffer(), dtype=np.uint8)
                     last, own = hub, shingles(hashed_words(text, np.array([0, len(text)]))[0], size)
                 text = data[offsets[i] : offsets[i + 1]]
                 x = shingles(hashed_words(text, np.array([0, len(text)]))[0], size)
                 more, less = np.setdiff1d(x, own, assume_unique=True), np.setdiff1d(own, x, assume_unique=True)
-                n, a = len(x), len(more) + len(less)
-                linked = (100 + threshold) * a <= (100 - threshold) * (n + len(own))
-                probe = c != hub_c and not linked
-                front, cut = cuts(n, a, len(own), threshold)
-                out.append((hub, rep, c, n, a, linked, probe, cut, np.concatenate([more, less])[: front if probe else cut].view(np.int64)))
+                linked = (100 + threshold) * (len(more) + len(less)) <= (100 - threshold) * (len(x) + len(own))
+                out.append((hub, rep, c, len(x), linked, more.view(np.int64), less.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "hub long, rep long, c long, n long, a long, linked boolean, probe boolean, cut long, elements array<long>")
-
-
-def possible(parts: DataFrame, threshold: int) -> DataFrame:
-    """The (a, b) pairs of different labels whose differences from a hub may overlap enough for a link."""
-    entries = parts.select("hub", "rep", "c", "n", "a", "probe", "cut", F.posexplode("elements").alias("place", "element"))
-    x = entries.where("probe").select("hub", "element", *(F.col(k).alias("x" + k) for k in ("rep", "c", "n", "a", "place")))
-    y = entries.where("place < cut").select("hub", "element", *(F.col(k).alias("y" + k) for k in ("rep", "c", "n", "a", "place")))
+    return rows.mapInArrow(run, "hub long, rep long, c long, n long, linked boolean, more array<long>, less array<long>")
+
+
+def centered(parts: DataFrame, folder: str, threshold: int) -> DataFrame:
+    """The differences again, from the set that most of a hub's members agree on: (hub, rep, c, n, a, e, least, star, star_c, front, cut, elements).
+
+    Any set will do as a center. With a the size of a difference and e = (100 + threshold) * a - (100 - threshold) * n, two sets are linked if and only if
+    the overlap of their differences is (e + e') / (2 * (100 + threshold)) at least. So those with e + least <= 0 are linked with the star,
+    the member whose e is least; a probe (any other) needs an overlap with whatever it is linked with. ``front`` shingles of a probe's difference,
+    in a fixed order, and ``cut`` shingles of its partner's must then have one in common; no linked sets are more unequal than the threshold."""
+    both, off = 100 + threshold, 100 - threshold
+    turned = lambda c: stored(parts.select("hub", F.explode(c).alias("x")).groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k")).join(
+        parts.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).hint("merge"), "hub").where("2 * k > m").groupBy("hub").agg(F.collect_list("x").alias("most_" + c)), folder, "turned-" + c)
+    none = F.array().cast("array<long>")
+    rows = parts.join(turned("more").hint("merge"), "hub", "left").join(turned("less").hint("merge"), "hub", "left")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("most_more", "most_less")})
+    apart = lambda c, other: F.array_sort(F.concat(F.array_except(c, "most_" + c), F.array_except("most_" + other, other)))
+    rows = rows.select("hub", "rep", "c", "n", F.concat(apart("more", "less"), apart("less", "more")).alias("elements"))
+    rows = rows.withColumn("a", F.size("elements").cast("long")).withColumn("e", both * F.col("a") - off * F.col("n"))
+    rows = stored(rows, folder, "centered")
+    stars = rows.groupBy("hub").agg(F.min(F.struct("e", "rep", "c")).alias("s")).select("hub", F.col("s.e").alias("least"), F.col("s.rep").alias("star"), F.col("s.c").alias("star_c"))
+    rows = rows.join(stored(stars, folder, "stars").hint("merge"), "hub")
+    front = F.col("a") - F.greatest(F.lit(1), F.col("a") - F.floor(off * F.col("n") / threshold)) + 1
+    rows = rows.withColumn("front", F.greatest(F.lit(0), front))
+    cut = F.col("a") - F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("least")) / (2 * both))) + 1
+    return rows.withColumn("cut", F.greatest(F.lit(0), F.least("front", cut)))
+
+
+def possible(rows: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) pairs of different labels whose differences from a center may overlap enough for a link."""
+    probe = (F.col("e") + F.col("least") > 0) & (F.col("c") != F.col("star_c"))
+    kept = F.slice("elements", 1, F.when(probe, F.col("front")).otherwise(F.col("cut")).cast("int"))
+    entries = rows.select("hub", "rep", "c", "a", "e", "cut", probe.alias("probe"), F.posexplode(kept).alias("place", "element"))
+    x = entries.where("probe").select("hub", "element", *(F.col(k).alias("x" + k) for k in ("rep", "c", "a", "e", "place")))
+    y = entries.where("place < cut").select("hub", "element", *(F.col(k).alias("y" + k) for k in ("rep", "c", "a", "e", "place")))
     most = 2 * (100 + threshold) * F.least(F.col("xa") - F.col("xplace"), F.col("ya") - F.col("yplace"))
-    enough = (100 + threshold) * (F.col("xa") + F.col("ya")) - (100 - threshold) * (F.col("xn") + F.col("yn"))
-    pairs = x.join(y.hint("merge"), ["hub", "element"]).where((F.col("xc") != F.col("yc")) & (most >= enough))
+    pairs = x.join(y.hint("merge"), ["hub", "element"]).where((F.col("xc") != F.col("yc")) & (most >= F.col("xe") + F.col("ye")))
     return pairs.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
 
 
@@ -248,11 +259,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = at.select("rep", "hub").distinct().join(degree.hint("merge"), "hub", "left").select("rep", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "hub").alias("center"))
     met = stored(met.groupBy("rep").agg(F.max("center").alias("center")), folder, "met")
     centers = at.select("key", "rep").join(met.hint("merge"), "rep").groupBy("key").agg(F.max("center").alias("center")).select("key", F.col("center.hub").alias("hub"))
-    around = at.select("key", "rep", "c").join(stored(label(centers, "hub", "hub_c"), folder, "centers").hint("merge"), "key")
-    around = stored(around.where("rep <> hub").select("hub", "rep", "c", "hub_c").distinct(), folder, "around")
+    around = at.select("key", "rep", "c").join(stored(centers, folder, "centers").hint("merge"), "key")
+    around = stored(around.where("rep <> hub").select("hub", "rep", "c").distinct(), folder, "around")
     parts = stored(differences(around, texts, size, threshold), folder, "differences")
-    rest = stored(possible(parts, threshold), folder, "rest")
+    rows_apart = stored(centered(parts, folder, threshold), folder, "apart")
+    rest = stored(possible(rows_apart, threshold), folder, "rest")
     links = verified(rest, texts, size, threshold).unionByName(parts.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    links = links.unionByName(rows_apart.where("e + least <= 0 and rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")))
     found = merged(near, stored(links, folder, "links-rest"), folder, "found").select("vertex", F.col("label").alias("component"))
     # a class is in its number's component, which has the smallest id of all its classes, and a row is its class's
     placed = stored(classes.join(found.hint("merge"), F.col("rep") == F.col("vertex"), "left").select("s1", "s2", "doc_id", F.coalesce("component", "rep").alias("component")), folder, "placed")

@@ -343,21 +343,26 @@ def test_near_dedup_alike_but_not_linked(spark, size, percent):
     assert got(out, "doc_id", "n_shingles", "component_id") == expected
 
 
-def test_near_dedup_filter_loses_no_link():
-    """The prefix filter alone, without bands: whatever hub is taken, every link between different labels is found."""
+def test_near_dedup_filter_loses_no_link(spark):
+    """The filter alone, without bands: whatever the hub is, every link between different labels is found, or is one by way of the star."""
     import random
 
     rng = random.Random(2)
-    for _ in range(60):
-        hub = set(range(rng.randrange(5, 60)))
-        sets = [{x for x in hub if rng.random() < 0.85} | {rng.randrange(100, 115) for _ in range(rng.randrange(8))} for _ in range(12)]
-        for t in (60, 80, 90):
-            link = lambda x, y: 100 * len(x & y) >= t * len(x | y)  # noqa: E731, B023
-            cuts = [near_dedup.cuts(len(x), len(x ^ hub), len(hub), t) for x in sets]
-            order = [sorted(x - hub) + sorted(hub - x) for x in sets]
-            for i, x in enumerate(sets):
-                if not x or link(x, hub):
-                    continue
-                for j, y in enumerate(sets):
-                    if i != j and y and link(x, y):
-                        assert set(order[i][: cuts[i][0]]) & set(order[j][: cuts[j][1]])
+    for t in (60, 80, 90):
+        sets, rows = {}, []
+        for g in range(25):
+            hub = set(range(rng.randrange(5, 60)))
+            for i in range(12):
+                x = {v for v in hub if rng.random() < 0.85} | {rng.randrange(100, 115) for _ in range(rng.randrange(8))} | ({200, 201} if rng.random() < 0.8 else set())
+                sets[g, 100 * g + i] = x or {7}
+                x = sets[g, 100 * g + i]
+                rows.append((g, 100 * g + i, 100 * g + i, len(x), False, sorted(x - hub), sorted(hub - x)))
+        parts = spark.createDataFrame(rows, "hub long, rep long, c long, n long, linked boolean, more array<long>, less array<long>")
+        apart = near_dedup.stored(near_dedup.centered(parts, scratch(spark), t), scratch(spark), "apart")
+        star = {r["rep"]: r["star"] for r in apart.where("e + least <= 0").collect()}
+        found = {(r["a"], r["b"]) for r in near_dedup.possible(apart, t).collect()}
+        for (g, i), x in sets.items():
+            assert i not in star or 100 * len(x & sets[g, star[i]]) >= t * len(x | sets[g, star[i]])
+            for (h, j), y in sets.items():
+                if g == h and i < j and 100 * len(x & y) >= t * len(x | y):
+                    assert (i, j) in found or (i in star and j in star)
