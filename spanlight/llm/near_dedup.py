@@ -181,8 +181,14 @@ def centered(parts: DataFrame, folder: str, threshold: int) -> DataFrame:
     the member whose e is least; a probe (any other) needs an overlap with whatever it is linked with. ``front`` shingles of a probe's difference,
     in a fixed order, and ``cut`` shingles of its partner's must then have one in common; no linked sets are more unequal than the threshold."""
     both, off = 100 + threshold, 100 - threshold
-    turned = lambda c: stored(parts.select("hub", F.explode(c).alias("x")).groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k")).join(
-        parts.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).hint("merge"), "hub").where("2 * k > m").groupBy("hub").agg(F.collect_list("x").alias("most_" + c)), folder, "turned-" + c)
+    members = stored(parts.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), folder, "hub-members")
+
+    def turned(c: str) -> DataFrame:
+        """The shingles that most of a hub's members have more (or less) than it, as a list: no longer than the sets themselves are on average, twice."""
+        counts = stored(parts.select("hub", F.explode(c).alias("x")).groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k")), folder, "counts-" + c)
+        most = stored(counts.join(members.hint("merge"), "hub").where("2 * k > m").select("hub", "x"), folder, "most-" + c)
+        return stored(most.groupBy("hub").agg(F.collect_list("x").alias("most_" + c)), folder, "turned-" + c)
+
     none = F.array().cast("array<long>")
     rows = parts.join(turned("more").hint("merge"), "hub", "left").join(turned("less").hint("merge"), "hub", "left")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("most_more", "most_less")})
