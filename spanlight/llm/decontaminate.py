@@ -52,9 +52,9 @@ def phrase_digests(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     return out
 
 
-def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored benchmark table, broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+def side(df: DataFrame) -> DataFrame:
+    """A stored benchmark table, broadcast if it has ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
@@ -172,13 +172,17 @@ class PostingsIndex:
         return rows.select("doc_id", "text", "text_hash", "found").mapInArrow(run, "doc_id long, text_hash long, n_words long, hits array<struct<start: int, length: int, item_id: long>>")
 
     def proximity_matches(self, slop: int) -> DataFrame:
-        """(doc_id, start, window): places where each of a window's anchors lies within ``slop`` words of where the window has it.
-        Starts are put into overlapping bins twice as wide, so that no pair of near starts is split."""
-        wide = F.floor(F.col("start") / (2 * slop + 1))
-        placed = self._starts().withColumn("bin", F.explode(F.array(wide, wide + 1)))
-        groups = placed.groupBy("doc_id", "text_hash", "bin", "window").agg(
-            F.expr("bit_count(bit_or(shiftleft(1L, place)))").alias("n"), F.max("n_anchors").alias("n_anchors"), F.min("start").alias("start"))
-        return groups.where("n = n_anchors").groupBy("doc_id", "window").agg(F.min("start").alias("start"))
+        """(doc_id, text_hash, window, start): every place from which on each of a window's anchors stands, in any order, so that the starts which the anchors
+        give the window lie within 2 * slop words of one another, that is, each within ``slop`` of a common one. ``start`` is the least of them,
+        and negative where a window would begin before its text. Starts go into bins of 2 * slop + 1, each into its own and the one before, so a
+        bin has all that its places need, and holds only a bounded number of distinct starts."""
+        width = 2 * slop + 1
+        own = F.floor(F.col("start") / width)
+        placed = self._starts().withColumn("bin", F.explode(F.array(own, own - 1)))
+        groups = placed.groupBy("doc_id", "text_hash", "bin", "window").agg(F.collect_set(F.struct("start", "place")).alias("found"), F.max("n_anchors").alias("n_anchors"))
+        near = f"aggregate(filter(found, y -> y.start between x and x + {2 * slop}), 0L, (s, y) -> s | shiftleft(1L, y.place))"
+        places = F.expr(f"filter(array_distinct(found.start), x -> floor(x / {width}) = bin and bit_count({near}) = n_anchors)")
+        return groups.select("doc_id", "text_hash", "window", F.explode(places).alias("start"))
 
 
 def covered(hits: str) -> Column:

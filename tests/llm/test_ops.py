@@ -119,6 +119,35 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in index.proximity_matches(3).collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_places(spark, slop):
+    """Every place, against all starts of a text tried one by one; rows of one id are told apart, repeated rows count once."""
+    rng = np.random.default_rng(slop)
+    phrase = "alpha beta gamma delta".split()
+    texts = [" ".join(rng.choice([*phrase, "xx", "yy", "zz"], 60)) for _ in range(8)] + [" ".join(phrase) + " zz" * 4 + " beta alpha gamma delta"]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[3])]
+    docs = text_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = decontaminate.PostingsIndex(docs, spark.createDataFrame([(1, " ".join(phrase))], "item_id long, text string"), rarest=4)
+    expected = set()
+    for i, t in set(rows):
+        starts = [(p - phrase.index(w), w) for p, w in enumerate(t.split()) if w in phrase]
+        expected |= {(i, t, s) for s, _ in starts if {w for x, w in starts if s <= x <= s + 2 * slop} == set(phrase)}
+    named = index.docs.select("doc_id", "text", "text_hash").distinct()
+    found = index.proximity_matches(slop).alias("m").join(named.alias("d"), decontaminate.F.expr("m.doc_id <=> d.doc_id and m.text_hash = d.text_hash"))
+    result = [(r["doc_id"], r["text"], r["start"]) for r in found.select("m.doc_id", "d.text", "m.start").collect()]
+    assert len(result) == len(set(result)) and set(result) == expected
+
+
+def test_beyond_broadcast(spark, docs, rows, monkeypatch):
+    """The same results where the sides that are broadcast while they are small are joined by shuffle."""
+    items = [(0, rows[2][1].split("\n")[1]), (1, "w1 The"), (3, " ".join(rows[4][1].split()[:13]))]
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", -1)
+    assert got(decontaminate.judged(docs, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == sorted(brute.judge(rows, items))
+    result = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert result == sorted(brute.repeats(rows, 400))
+
+
 def test_suffix_dedup(docs, rows, empty, odd):
     for length, gram, cell in ((400, 200, 20), (60, 25, 7)):
         out = suffix_dedup.remove_repeats(docs, length=length, gram=gram, cell=cell)

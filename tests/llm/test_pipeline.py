@@ -20,6 +20,13 @@ def folder(spark, docs, rows, tmp_path_factory):
     return str(home)
 
 
+@pytest.fixture(params=["broadcast", "shuffle"])
+def lists(request, monkeypatch):
+    """How the lists of dropped documents are joined: while they are small, and beyond."""
+    if request.param == "shuffle":
+        monkeypatch.setattr(corpus_pipeline, "DROPPED_ROWS", -1)
+
+
 def kept(df):
     return {r["doc_id"] for r in df.collect()}
 
@@ -46,7 +53,7 @@ def test_run(spark, folder):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 131
 
 
-def test_one_text_of_an_id_leaves_the_others(spark, tmp_path):
+def test_one_text_of_an_id_leaves_the_others(spark, tmp_path, lists):
     """Null and repeated ids, each with one dropped and one clean text, and rows repeated as a whole."""
     stage = dict(corpus_pipeline.STAGES)
     text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
