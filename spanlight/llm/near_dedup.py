@@ -182,16 +182,14 @@ def centered(parts: DataFrame, folder: str, threshold: int) -> DataFrame:
     in a fixed order, and ``cut`` shingles of its partner's must then have one in common; no linked sets are more unequal than the threshold."""
     both, off = 100 + threshold, 100 - threshold
     members = stored(parts.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), folder, "hub-members")
-
-    def turned(c: str) -> DataFrame:
-        """The shingles that most of a hub's members have more (or less) than it, as a list: no longer than the sets themselves are on average, twice."""
-        counts = stored(parts.select("hub", F.explode(c).alias("x")).groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k")), folder, "counts-" + c)
-        most = stored(counts.join(members.hint("merge"), "hub").where("2 * k > m").select("hub", "x"), folder, "most-" + c)
-        return stored(most.groupBy("hub").agg(F.collect_list("x").alias("most_" + c)), folder, "turned-" + c)
-
+    # the shingles that most of a hub's members have more, or less, than it, as two lists: no longer than the sets themselves are on average, twice.
+    # Both sides go through one count, and come in one row a hub: of two joins by hub in a row, a large hub's task could not be split
+    sides = [parts.select("hub", F.lit(c).alias("side"), F.explode(c).alias("x")) for c in ("more", "less")]
+    counts = stored(sides[0].unionByName(sides[1]).groupBy("hub", "side", "x").agg(F.count(F.lit(1)).alias("k")), folder, "counts")
+    most = stored(counts.join(members.hint("merge"), "hub").where("2 * k > m").select("hub", "side", "x"), folder, "most")
+    turned = stored(most.groupBy("hub").agg(*(F.collect_list(F.when(F.col("side") == c, F.col("x"))).alias("most_" + c) for c in ("more", "less"))), folder, "turned")
     none = F.array().cast("array<long>")
-    rows = parts.join(turned("more").hint("merge"), "hub", "left").join(turned("less").hint("merge"), "hub", "left")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("most_more", "most_less")})
+    rows = parts.join(turned.hint("merge"), "hub", "left").withColumns({c: F.coalesce(c, none) for c in ("most_more", "most_less")})
     apart = lambda c, other: F.array_sort(F.concat(F.array_except(c, "most_" + c), F.array_except("most_" + other, other)))
     rows = rows.select("hub", "rep", "c", "n", F.concat(apart("more", "less"), apart("less", "more")).alias("elements"))
     rows = rows.withColumn("a", F.size("elements").cast("long")).withColumn("e", both * F.col("a") - off * F.col("n"))
