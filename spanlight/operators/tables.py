@@ -49,11 +49,12 @@ def map_sums(spans: DataFrame, column: str, by: tuple[str, ...] = TRACE) -> Data
 
 
 def score_lists(scores: DataFrame, by: tuple[str, ...] = ("trace_id",)) -> DataFrame:
-    """Averages of numeric scores and 'name:value' categories, as sorted lists a group: averaged by name first."""
+    """Averages of numeric scores and 'name:value' categories, as sorted lists a group: averaged by name first. Averages are not rounded: who floors or
+    compares them needs them as they are."""
     each = scores.groupBy(*by, "name", "data_type", "string_value").agg(F.avg("value").alias("avg"))
     numeric = F.col("data_type").isin("NUMERIC", "BOOLEAN")
     return each.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.when(numeric, F.struct("name", F.round("avg", 4).alias("avg"))))).alias("scores_avg"),
+        F.array_sort(F.collect_list(F.when(numeric, F.struct("name", "avg")))).alias("scores_avg"),
         F.array_sort(F.collect_list(F.when(~numeric & F.col("string_value").isNotNull(), F.concat("name", F.lit(":"), "string_value")))).alias("categories"))
 
 
